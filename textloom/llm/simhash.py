@@ -102,8 +102,8 @@ def links(fps: DataFrame, max_distance: int = 3, segments: int = 2) -> DataFrame
     return found.select(F.least("fp", "own").alias("a"), F.greatest("fp", "own").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = 3, segments: int = 2) -> DataFrame:
-    """``(id, fp, component_id)``, one row per row of ``df``.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = 3, max_distance: int = 3, segments: int = 2) -> DataFrame:
+    """``(id, *carry, fp, component_id)``, one row per row of ``df``.
 
     ``component_id`` is the smallest id reachable over links of at most
     ``max_distance`` bits. Rows of equal ids stay apart and get the same
@@ -111,14 +111,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component has no other; texts without words share fingerprint zero, which
     links like any other. An empty table gives an empty result.
     """
-    own = cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words))
+    own = cut(fingerprints(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text__")), words, "text__"))
     nodes = own.groupBy("fp").agg(F.min("id").alias("rep"))
     found = connected_components(links(nodes.select("fp"), max_distance, segments))
     linked = nodes.join(found, nodes.fp == found.node).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = linked.join(least, "root").select(F.col("fp").alias("node"), "least")
     labels = nodes.join(moved, nodes.fp == moved.node, "left").select(F.col("fp").alias("node"), F.coalesce("least", "rep").alias("component_id"))
-    return own.join(labels, own.fp == labels.node).select("id", "fp", "component_id")
+    return own.join(labels, own.fp == labels.node).select("id", *carry, "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
