@@ -68,7 +68,7 @@ def error_message(status: Column, message: Column, detail: Column) -> Column:
     for code, text in ((429, "请求过于频繁或额度用尽（HTTP 429），请稍后再试或检查账户余额"), (404, "模型名称不存在（HTTP 404），请检查模型选择是否正确"), (402, "账户余额不足（HTTP 402）")):
         out = out.when(status == code, text)
     out = out.when(status == 400, said("请求被拒绝（HTTP 400）：", F.coalesce(detail, F.lit("参数有误"))))
-    network = "网络连接失败（服务商接口不可达或跨域限制），请检查网络，或使用 start.bat 本地服务模式"
+    network = "网络连接失败（服务商接口不可达或跨域限制），请检查网络"
     return out.when(F.coalesce(message, F.lit("")).rlike("(?i)fetch|network|TypeError"), network).otherwise(message)
 
 
