@@ -36,9 +36,9 @@ WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: Pieces up to SHORT characters are remembered, about CACHED at a time; pre-tokens of up to WIDE pairs are merged together.
-SHORT, CACHED, WIDE = 64, 1 << 19, 64
+SHORT, CACHED, WIDE = 64, 1 << 18, 64
 #: A slice of texts of this many bytes is encoded at a time.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def byte_symbols() -> dict[str, int]:
