@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, line_dedup, mixing, quality, simhash
+from textloom.llm import bpe, line_dedup, mixing, near_copies, quality
 from textloom.llm.common import cut
 from textloom.session import ship
 
@@ -56,9 +56,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates stays, the one with the smallest id."""
     ship(spark)
     keyed = _keyed(docs)
-    groups = simhash.near_duplicates(keyed, ID, TEXT, carry=("k1__", "k2__"), words=5)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    first = groups.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1__", "k2__")).alias("f"))
+    groups = near_copies.near_copies(keyed, ID, TEXT, carry=("k1__", "k2__"), words=5, similarity=0.8)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1__", "k2__")).alias("f"))
     kept = first.select(F.col("f.k1__").alias("a__"), F.col("f.k2__").alias("b__"))
     found = keyed.join(kept, (F.col("k1__") == F.col("a__")) & (F.col("k2__") == F.col("b__")))
     one = F.row_number().over(Window.partitionBy("k1__", "k2__").orderBy("a__"))

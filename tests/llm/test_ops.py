@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chat, components, html_extract, licenses, line_dedup, mixing, quality, sharding, simhash
+from textloom.llm import ann, bpe, chat, components, html_extract, licenses, line_dedup, mixing, near_copies, quality, sharding, simhash
 
 SCHEMA = "doc_id long, text string, source string, n_words string, ids string, rank string, fp string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -132,6 +132,46 @@ def test_links_lose_nothing(spark, distance, segments):
     assert {frozenset(p) for p in found} == want
 
 
+def test_near_copies_equal_brute_force(spark):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [rnd.choices(words, k=rnd.randint(40, 400)) for _ in range(60)]
+    for base in texts[:40]:  # copies with a few words changed, near and beyond the bound
+        for edits in (1, 2, 4, 8):
+            texts.append([rnd.choice(words) if rnd.random() < edits / len(base) else w for w in base])
+    hub = rnd.choices(words, k=300)
+    texts += [[rnd.choice(words) if rnd.random() < 0.006 else w for w in hub] for _ in range(60)]
+    rows = [(k, " ".join(t), "s") for k, t in enumerate(texts)]
+    n = len(rows)
+    rows += [(n, None, "s"), (n + 1, "", "s"), (n + 2, " \n", "s"), (n + 3, "three words here", "s"), (n + 4, "THREE  words here", None), (n + 5, rows[0][1], "s"), (n + 5, rows[0][1], "s"), (None, rows[0][1], "s")]
+    found = near_copies.near_copies(make(spark, rows), carry=("source",)).collect()
+    assert len(found) == len(rows) and {len(r) for r in found} == {4}
+    component = {r.id: r.component_id for r in found if r.id is not None}
+    assert component[n] == component[n + 1] == component[n + 2] == n and component[n + 4] == n + 3 and component[n + 5] == component[0]
+
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    similar, missed = 0, 0
+    for a, b in itertools.combinations(range(n), 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        if j >= 0.8:
+            similar, missed = similar + 1, missed + (component[a] != component[b])
+        if j < 0.01 and a < 60 and b < 60:
+            assert component[a] != component[b]
+    assert similar > 500 and missed <= 0.01 * similar
+
+
+def test_near_copies_below_the_bound_stay_apart(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(150):
+        t = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        spots = rnd.sample(range(3, 197, 6), 10)
+        rows += [(2 * k, " ".join(t), "s"), (2 * k + 1, " ".join(f"x{i}" if i in spots else w for i, w in enumerate(t)), "s")]  # similarity about 0.6
+    found = near_copies.near_copies(make(spark, rows)).where("component_id <> id").count()
+    assert found <= 3
+    assert near_copies.near_copies(make(spark, [])).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
