@@ -4,20 +4,21 @@ Two sets of shingles with Jaccard similarity s have a cosine of at least
 2s / (1 + s), so each bit of their SimHash fingerprints differs with a chance
 of at most p = arccos(2s / (1 + s)) / pi: 0.15 for s = 0.8. Sixty-four bits
 tell too little at such distances, and no cut of them leaves segments that are
-both selective and nearly equal. So the fingerprint gets ``segments`` times
-``bits`` bits, each segment enumerates the ball of radius 1 around its value,
-and what is found in any table is verified by the complete distance.
+both selective and nearly equal. So the fingerprint gets 64 times ``LANES``
+bits, the first ``segments`` times ``bits`` of them are cut into segments, each
+segment enumerates the ball of radius 1 around its value, and what is found in
+any table is verified by the complete distance.
 
 A pair at exactly s meets in one segment with q**bits + bits*p*q**(bits - 1),
-q = 1 - p: 0.11 for 24 bits, so 40 tables miss 1.1 % of such pairs, and hardly
-any above 0.85. Two unrelated texts meet in 40 * 25 / 2**24 of the cases; add
+q = 1 - p: 0.18 for 20 bits, so 22 tables miss 1.4 % of such pairs, and hardly
+any above 0.85. Two unrelated texts meet in 22 * 21 / 2**20 of the cases; add
 bits (and segments) as the corpus grows.
 
-Groups of copies are not paired out. Equal fingerprints are one node. Then the
-nodes of a table entry are linked to its least and its greatest node, which
-joins most of a large group by links linear in its size; in the full search the
-nodes of one component count as one for each table entry, and only pairs from
-different components leave the join.
+Groups of copies are not paired out. Fingerprints with the same first 64 bits
+are one node. Then the nodes of a table entry are linked to its least and its
+greatest node, which joins most of a large group by links linear in its size;
+in the full search the nodes of one component count as one for each table
+entry, and only pairs from different components leave the join.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from textloom.llm.components import connected_components
 from textloom.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-SEGMENTS, BITS = 40, 24
+SEGMENTS, BITS, LANES = 22, 20, 15
 #: Constants of the SplitMix64 generator, which derives more bits from a shingle's hash.
 GAMMA, MIX_1, MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -72,27 +73,27 @@ def sketches(df: DataFrame, words: int, lanes: int, text_col: str) -> DataFrame:
 
 
 def _entries(nodes: DataFrame, segments: int, bits: int) -> DataFrame:
-    """``nodes(node, root, fp)`` as table entries ``(key, node, root, sk)``; ``sk`` is the fingerprint's first 64 bits."""
+    """``nodes(node, root, fp)`` as table entries ``(key, root, node)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 5_000):
                 node, root, fp = (batch.column(k).slice(start, 5_000) for k in range(3))
-                fps = fp.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-                values = np.zeros((len(node), segments), np.int64)
-                for k, part in enumerate(np.moveaxis(np.ascontiguousarray(fps).view(np.uint8).reshape(len(node), segments, bits // 8), 2, 0)):
-                    values |= part.astype(np.int64) << (8 * k)
-                keys = values | (np.arange(segments, dtype=np.int64) << bits)
-                each = [np.repeat(x, segments) for x in (node.to_numpy(zero_copy_only=False), root.to_numpy(zero_copy_only=False), fps[:, 0])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each)], names=["key", "node", "root", "sk"])
+                fps = np.ascontiguousarray(fp.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
+                ones = np.unpackbits(fps.view(np.uint8), axis=1, count=segments * bits, bitorder="little")
+                values = ones.reshape(-1, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                keys = values.reshape(-1, segments) | (np.arange(segments, dtype=np.int64) << bits)
+                each = [np.repeat(x.to_numpy(zero_copy_only=False), segments) for x in (root, node)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each)], names=["key", "root", "node"])
 
-    return nodes.select("node", "root", "fp").mapInArrow(run, "key long, node long, root long, sk long")
+    return nodes.select("node", "root", "fp").mapInArrow(run, "key long, root long, node long")
 
 
 def _balls(groups: DataFrame, bits: int) -> DataFrame:
-    """``groups(key, root, node, sk)`` once for each smaller key in the ball of radius 1, as ``(at, key, ...)``.
+    """``groups(key, root, node)`` once for each smaller key in the ball of radius 1, as ``(at, root, node)``.
 
     Of two keys the larger one enumerates the smaller, so that they meet once.
+    ``at`` is that key times 64 plus the number of the bit cleared, from 1; 0 is none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +105,9 @@ def _balls(groups: DataFrame, bits: int) -> DataFrame:
                 ball = keys[:, None] ^ masks
                 row, col = np.nonzero(ball <= keys[:, None])
                 rest = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ball[row, col]), *rest.columns], names=["at", "key", "root", "node", "sk"])
+                yield pa.RecordBatch.from_arrays([pa.array((ball[row, col] << 6) | col), *rest.columns[1:]], names=["at", "root", "node"])
 
-    return groups.select("key", "root", "node", "sk").mapInArrow(run, "at long, key long, root long, node long, sk long")
+    return groups.select("key", "root", "node").mapInArrow(run, "at long, root long, node long")
 
 
 def bounds(similarity: float, total: int) -> tuple[int, int]:
@@ -141,28 +142,31 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY, segments: int = SEGM
 
     Inside a group that links already join, further links are not listed.
     """
-    most, coarse = bounds(similarity, segments * bits)
+    most, coarse = bounds(similarity, 64 * LANES)
     nodes = nodes.where("n > 0")
-    entries = _entries(nodes.withColumn("root", F.col("node")), segments, bits)
-    ends = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "sk")).alias("lo"), F.max(F.struct("node", "sk")).alias("hi")).where("c > 1")
-    stars = entries.join(ends, "key").select("node", "sk", F.explode(F.array("lo", "hi")).alias("end"))
-    stars = stars.where(f"node <> end.node and bit_count(sk ^ end.sk) <= {coarse}").select(F.col("node").alias("x"), F.col("end.node").alias("y"))
-    first = connected_components(_verified(stars.select(*_ordered("x", "y")).distinct(), nodes, similarity, most))
+    entries = _entries(nodes.withColumn("root", F.col("node")), segments, bits).select("key", "node")
+    ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    stars = entries.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("end"))
+    stars = stars.where(f"node <> end and bit_count(node ^ end) <= {coarse}").select(*_ordered("node", "end")).distinct()
+    first = connected_components(_verified(stars, nodes, similarity, most))
     first = cut(first.withColumnRenamed("node", "node__"))
 
-    rooted = nodes.join(first, F.col("node") == F.col("node__"), "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-    entries = cut(_entries(rooted, segments, bits))
-    groups = entries.groupBy("key", "root").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.min("sk").alias("sk"))
-    groups = cut(groups.select("key", "root", F.when(F.col("c") == 1, F.col("least")).alias("node"), "sk"))  # null: several nodes
-    here = groups.select(F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("node").alias("b"), F.col("sk").alias("sb"))
-    near = F.expr(f"at = kb and root <> rb and (node is null or b is null or bit_count(sk ^ sb) <= {coarse})")
-    met = cut(_balls(groups, bits).join(here, near).select(F.col("key").alias("ka"), F.col("root").alias("ra"), F.col("node").alias("a"), "kb", "rb", "b"))
+    rooted = cut(nodes.join(first, F.col("node") == F.col("node__"), "left").select("node", "root", "fp"))
+    members = _entries(rooted.where("root is not null"), segments, bits)
+    many = members.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    many = many.select("key", "root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("node"))  # null: several nodes
+    groups = _entries(rooted.where("root is null").withColumn("root", F.col("node")), segments, bits).union(many)
+    here = groups.select(F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("node").alias("b"))
+    near = F.expr(f"shiftright(at, 6) = kb and root <> rb and (node is null or b is null or bit_count(node ^ b) <= {coarse})")
+    own = F.expr("kb | shiftright(shiftleft(1L, cast(at & 63 as int)), 1)")
+    met = cut(_balls(groups, bits).join(here, near).select(own.alias("ka"), F.col("root").alias("ra"), F.col("node").alias("a"), "kb", "rb", "b"))
 
     alone = F.col("a").isNotNull() & F.col("b").isNotNull()
-    crowd = met.where(~alone).select("ka", "ra", "kb", "rb").distinct()
-    crowd = crowd.join(entries.select(F.col("key").alias("ka"), F.col("root").alias("ra"), F.col("node").alias("x"), F.col("sk").alias("sx")), ["ka", "ra"])
-    crowd = crowd.join(entries.select(F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("node").alias("y"), F.col("sk").alias("sy")), ["kb", "rb"])
-    pairs = met.where(alone).select(*_ordered("a", "b")).union(crowd.where(f"bit_count(sx ^ sy) <= {coarse}").select(*_ordered("x", "y"))).distinct()
+    crowd = met.where(~alone).distinct()
+    crowd = crowd.join(members.select(F.col("key").alias("ka"), F.col("root").alias("ra"), F.col("node").alias("x")), ["ka", "ra"], "left")
+    crowd = crowd.join(members.select(F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("node").alias("y")), ["kb", "rb"], "left")
+    crowd = crowd.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where(f"bit_count(x ^ y) <= {coarse}")
+    pairs = met.where(alone).select(*_ordered("a", "b")).union(crowd.select(*_ordered("x", "y"))).distinct()
     return first.where("node__ <> root").select(F.col("node__").alias("a"), F.col("root").alias("b")).union(_verified(pairs, nodes, similarity, most))
 
 
@@ -173,13 +177,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     the group's smallest id, null only if it has no id. Null and empty texts
     and those without words form one group, texts of fewer words than a
     shingle are one shingle, repeated rows fall in one group, and an empty
-    table gives an empty result. ``bits`` is a multiple of 8, and ``segments *
-    bits`` one of 64. Equal fingerprints are told by a 64-bit hash.
+    table gives an empty result. ``segments * bits`` is at most 64 times
+    ``LANES``.
     """
-    if bits % 8 or segments * bits % 64:
-        raise ValueError("bits must be a multiple of 8 and segments * bits one of 64")
-    own = sketches(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text__")), words, segments * bits // 64, "text__")
-    own = cut(own.withColumn("node", F.xxhash64("n", "fp")))
+    if segments * bits > 64 * LANES:
+        raise ValueError("more segments than the fingerprint has bits for")
+    own = sketches(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text__")), words, LANES, "text__")
+    own = cut(own.withColumn("node", F.col("fp")[0]))
     nodes = cut(own.groupBy("node").agg(F.min(F.struct("n", "fp")).alias("s"), F.min("id").alias("rep")).select("node", "s.n", "s.fp", "rep"))
     found = connected_components(links(nodes, similarity, segments, bits)).withColumnRenamed("node", "node__")
     labels = nodes.join(found, F.col("node") == F.col("node__"), "left").select("node", F.coalesce("root", "node").alias("group"), "rep")
