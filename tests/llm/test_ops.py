@@ -172,6 +172,33 @@ def test_near_copies_below_the_bound_stay_apart(spark):
     assert near_copies.near_copies(make(spark, [])).count() == 0
 
 
+def exact_groups(texts, least=0.8):
+    """The smallest index of each text's group, by brute force over five-word shingles (whole texts where shorter)."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))})
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        shared = len(sets[a] & sets[b])
+        if 5 * shared >= 5 * least * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_just_below_the_bound_stay_apart(spark):
+    rnd = random.Random(16)
+    texts = []
+    for k in range(120):  # similarities from 0.70 to 0.77
+        t = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        spots = rnd.sample(range(4, 196, 6), 5 + k % 3)
+        texts += [" ".join(t), " ".join(f"x{i}" if i in spots else w for i, w in enumerate(t))]
+    assert exact_groups(texts) == list(range(240))
+    found = near_copies.near_copies(make(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    assert [r for r in found if r.component_id != r.id] == []
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in components.connected_components(edges).collect()}

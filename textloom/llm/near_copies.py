@@ -1,24 +1,23 @@
-"""Near copies down to a word-shingle similarity, by multi-index hashing of wide fingerprints.
-
-Two sets of shingles with Jaccard similarity s have a cosine of at least
-2s / (1 + s), so each bit of their SimHash fingerprints differs with a chance
-of at most p = arccos(2s / (1 + s)) / pi: 0.15 for s = 0.8. Sixty-four bits
-tell too little at such distances, and no cut of them leaves segments that are
-both selective and nearly equal. So the fingerprint gets 64 times ``LANES``
-bits, the first ``segments`` times ``bits`` of them are cut into segments, each
-segment enumerates the ball of radius 1 around its value, and what is found in
-any table is verified by the complete distance.
-
-A pair at exactly s meets in one segment with q**bits + bits*p*q**(bits - 1),
-q = 1 - p: 0.18 for 20 bits, so 22 tables miss 1.4 % of such pairs, and hardly
-any above 0.85. Two unrelated texts meet in 22 * 21 / 2**20 of the cases; add
-bits (and segments) as the corpus grows.
-
-Groups of copies are not paired out. Fingerprints with the same first 64 bits
-are one node. Then the nodes of a table entry are linked to its least and its
-greatest node, which joins most of a large group by links linear in its size;
-in the full search the nodes of one component count as one for each table
-entry, and only pairs from different components leave the join.
+"""Near copies down to a word-shingle similarity, by an exact prefix-filtered join of shingle sets.
+
+Two sets of sizes m and n have a Jaccard similarity of at least s only if they
+share s / (1 + s) * (m + n) elements. If all sets are put in one order, such
+two share an element among the first n - ceil(s * n) + 1 of each (its prefix),
+and no pair is lost whatever the order. What meets there is decided by the
+exact similarity of the complete sets, so nothing below s is linked either.
+
+The order has the shingles first that are rare in a sample of the texts, so that
+common passages seldom are in a prefix. It decides only how many pairs are
+looked at. The most frequent shingles of the sample, ``FREQUENT`` at most, are
+sent to the executors; all others count as rare and go by their hash.
+
+Texts with equal sets are one node. Groups of copies are not paired out: the
+nodes of a shingle are linked to its least and its greatest node first, which
+joins most of a large group by links linear in its size; in the full search the
+nodes of one component count as one for each shingle, and only pairs from
+different components leave the join. A pair goes on only if the number of
+prefix elements it shares leaves the similarity possible. Complete sets are
+made again from the texts, and only for nodes that share a prefix element.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,155 +37,154 @@ from textloom.llm.components import connected_components
 from textloom.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-SEGMENTS, BITS, LANES = 22, 20, 15
-#: Constants of the SplitMix64 generator, which derives more bits from a shingle's hash.
-GAMMA, MIX_1, MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """``lanes`` times 64 bits, each set if it is in over half the hashes; zero without hashes."""
-    ones = np.zeros(64 * lanes, np.int64)
-    steps = np.arange(lanes, dtype=np.uint64) * GAMMA
-    for start in range(0, len(hashes), 255):  # so that counts fit in one byte
-        x = hashes[start : start + 255, None] + steps
-        x = (x ^ (x >> np.uint64(30))) * MIX_1
-        x = (x ^ (x >> np.uint64(27))) * MIX_2
-        x ^= x >> np.uint64(31)
-        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
-
-
-def sketches(df: DataFrame, words: int, lanes: int, text_col: str) -> DataFrame:
-    """``df`` without its text, with ``fp`` of the distinct shingles and their number ``n``."""
-    at = df.columns.index(text_col)
-    rest = [k for k in range(len(df.columns)) if k != at]
-    out = T.StructType([*(df.schema.fields[k] for k in rest), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            sets = [np.unique(shingle_hashes(x, words)) for x in utf8(batch.column(at))]
-            fps = np.concatenate([wide_fingerprint(x, lanes) for x in sets])
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * lanes)
-            found = [pa.ListArray.from_arrays(offsets, pa.array(fps)), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *found], names=out.names)
+#: Texts in the sample for the order, texts of it that make a shingle frequent, and frequent shingles sent out at most.
+SAMPLE, OFTEN, FREQUENT = 20_000, 4, 100_000
+#: Shingles in the sets that are broadcast at most; sets of more are joined.
+BROADCAST_SHINGLES = 4_000_000
+#: Against the rounding of products with the similarity.
+TINY = 1e-9
 
-    return df.mapInArrow(run, out)
 
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(data, words))
 
-def _entries(nodes: DataFrame, segments: int, bits: int) -> DataFrame:
-    """``nodes(node, root, fp)`` as table entries ``(key, root, node)``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 5_000):
-                node, root, fp = (batch.column(k).slice(start, 5_000) for k in range(3))
-                fps = np.ascontiguousarray(fp.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
-                ones = np.unpackbits(fps.view(np.uint8), axis=1, count=segments * bits, bitorder="little")
-                values = ones.reshape(-1, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                keys = values.reshape(-1, segments) | (np.arange(segments, dtype=np.int64) << bits)
-                each = [np.repeat(x.to_numpy(zero_copy_only=False), segments) for x in (root, node)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each)], names=["key", "root", "node"])
+def _node(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
 
-    return nodes.select("node", "root", "fp").mapInArrow(run, "key long, root long, node long")
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
-def _balls(groups: DataFrame, bits: int) -> DataFrame:
-    """``groups(key, root, node)`` once for each smaller key in the ball of radius 1, as ``(at, root, node)``.
 
-    Of two keys the larger one enumerates the smaller, so that they meet once.
-    ``at`` is that key times 64 plus the number of the bit cleared, from 1; 0 is none.
-    """
+def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, ascending, and the counts of the shingles frequent in a sample of ``texts(text__)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array([0, *(1 << b for b in range(bits))], np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 20_000):
-                part = batch.slice(start, 20_000)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                ball = keys[:, None] ^ masks
-                row, col = np.nonzero(ball <= keys[:, None])
-                rest = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array((ball[row, col] << 6) | col), *rest.columns[1:]], names=["at", "root", "node"])
+        for batch in slices(batches, 0, 1 << 20):
+            found = np.concatenate([shingle_set(x, words) for x in utf8(batch.column(0))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    n = texts.count()
+    sample = texts.sample(False, min(1.0, SAMPLE / n), 7) if n > SAMPLE else texts
+    often = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    often = often.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    hashes, counts = (often.column(k).to_numpy().astype(np.int64) for k in range(2))
+    hashes = hashes.view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements of a set, rare ones first, of which similar sets share one."""
+    n = len(hashes)
+    size = n - math.ceil(similarity * n - TINY) + 1 if n else 0
+    if not len(frequent):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    rank = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:size]]
+
+
+def prefixes(df: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """``df`` without its text, with ``node`` (the name of the set), ``n`` (its size) and ``prefix``."""
+    at = df.columns.index(text_col)
+    rest = [k for k in range(len(df.columns)) if k != at]
+    out = T.StructType([*(df.schema.fields[k] for k in rest), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    sent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df.select(F.col(text_col).alias("text__")), words))
 
-    return groups.select("key", "root", "node").mapInArrow(run, "at long, root long, node long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = sent.value
+        for batch in slices(batches, at):
+            nodes, sizes, firsts = [], [], []
+            for x in utf8(batch.column(at)):
+                hashes = shingle_set(x, words)
+                nodes.append(_node(hashes))
+                sizes.append(len(hashes))
+                firsts.append(prefix(hashes, frequent, counts, similarity))
+            found = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *found], names=out.names)
 
+    return df.mapInArrow(run, out)
 
-def bounds(similarity: float, total: int) -> tuple[int, int]:
-    """The most differing bits of ``total``, and of a first look at 64, for links of at least ``similarity``.
 
-    Two standard deviations (3.6 at the first look) above what is expected at ``similarity``.
-    """
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    most, coarse = (n * p + z * math.sqrt(n * p * (1 - p)) for n, z in ((total, 2.0), (64, 3.6)))
-    return math.floor(most), math.ceil(coarse)
+def complete_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, items)`` of ``texts(text__)``, a row a text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, 1 << 20):
+            sets = [shingle_set(x, words) for x in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "items"])
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return texts.mapInArrow(run, "node long, items array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float, most: int) -> DataFrame:
-    """The ``pairs(a, b)`` within the complete distance whose numbers of shingles allow the similarity."""
-    one = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-    two = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
-    found = pairs.join(one, "a").join(two, "b")
-    return found.where(sizes & (_differing(F.col("fa"), F.col("fb")) <= most)).select("a", "b")
+def _sizes(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(a, b) + F.lit(TINY) >= F.lit(similarity) * F.greatest(a, b)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY, segments: int = SEGMENTS, bits: int = BITS) -> DataFrame:
-    """Links ``(a, b)`` that join all similar ``nodes(node, fp, n)``, each met in some table and verified.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose ``sets(node, items)`` have at least the similarity."""
+    one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
+    if (sets.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        one, two = F.broadcast(one), F.broadcast(two)
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return found.where(F.col("shared") + F.lit(TINY) >= F.lit(similarity) * (F.col("both") - F.col("shared"))).select("a", "b")
+
+
+def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` that join all similar ``nodes(node, n, prefix)`` and no others.
 
     Inside a group that links already join, further links are not listed.
     """
-    most, coarse = bounds(similarity, 64 * LANES)
-    nodes = nodes.where("n > 0")
-    entries = _entries(nodes.withColumn("root", F.col("node")), segments, bits).select("key", "node")
+    entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
     ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    stars = entries.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("end"))
-    stars = stars.where(f"node <> end and bit_count(node ^ end) <= {coarse}").select(*_ordered("node", "end")).distinct()
-    first = connected_components(_verified(stars, nodes, similarity, most))
-    first = cut(first.withColumnRenamed("node", "node__"))
-
-    rooted = cut(nodes.join(first, F.col("node") == F.col("node__"), "left").select("node", "root", "fp"))
-    members = _entries(rooted.where("root is not null"), segments, bits)
-    many = members.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    many = many.select("key", "root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("node"))  # null: several nodes
-    groups = _entries(rooted.where("root is null").withColumn("root", F.col("node")), segments, bits).union(many)
-    here = groups.select(F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("node").alias("b"))
-    near = F.expr(f"shiftright(at, 6) = kb and root <> rb and (node is null or b is null or bit_count(node ^ b) <= {coarse})")
-    own = F.expr("kb | shiftright(shiftleft(1L, cast(at & 63 as int)), 1)")
-    met = cut(_balls(groups, bits).join(here, near).select(own.alias("ka"), F.col("root").alias("ra"), F.col("node").alias("a"), "kb", "rb", "b"))
-
-    alone = F.col("a").isNotNull() & F.col("b").isNotNull()
-    crowd = met.where(~alone).distinct()
-    crowd = crowd.join(members.select(F.col("key").alias("ka"), F.col("root").alias("ra"), F.col("node").alias("x")), ["ka", "ra"], "left")
-    crowd = crowd.join(members.select(F.col("key").alias("kb"), F.col("root").alias("rb"), F.col("node").alias("y")), ["kb", "rb"], "left")
-    crowd = crowd.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where(f"bit_count(x ^ y) <= {coarse}")
-    pairs = met.where(alone).select(*_ordered("a", "b")).union(crowd.select(*_ordered("x", "y"))).distinct()
-    return first.where("node__ <> root").select(F.col("node__").alias("a"), F.col("root").alias("b")).union(_verified(pairs, nodes, similarity, most))
-
-
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = WORDS, similarity: float = SIMILARITY, segments: int = SEGMENTS, bits: int = BITS) -> DataFrame:
+    live = cut(entries.join(ends, "key").select("key", "node", "n", "lo", "hi"))
+    shared = live.select("node").distinct()
+    sets = cut(complete_sets(texts, words).join(shared, "node", "left_semi").dropDuplicates(["node"]))
+
+    stars = live.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end").select(*_ordered("node", "end")).distinct()
+    first = cut(connected_components(verified(stars, sets, similarity)).withColumnRenamed("node", "node__"))
+
+    members = live.join(first, F.col("node") == F.col("node__"), "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n")
+    members = cut(members)
+    groups = members.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    one, two = (groups.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("root", "lo", "hi", "n0", "n1"))) for x in "ab")
+    fits = (F.col("n1a") + F.lit(TINY) >= F.lit(similarity) * F.col("n0b")) & (F.col("n1b") + F.lit(TINY) >= F.lit(similarity) * F.col("n0a"))
+    met = one.join(two, (one["key"] == two["key"]) & (F.col("roota") < F.col("rootb")) & fits).drop(two["key"])
+    met = cut(met)
+
+    alone = (F.col("loa") == F.col("hia")) & (F.col("lob") == F.col("hib"))
+    single = met.where(alone).select(F.col("loa").alias("x"), F.col("lob").alias("y"), F.col("n0a").alias("nx"), F.col("n0b").alias("ny"))
+    left, right = (members.select("key", F.col("root").alias(f"root{x}"), F.col("node").alias(y), F.col("n").alias(f"n{y}")) for x, y in ("ax", "by"))
+    crowd = met.where(~alone).select("key", "roota", "rootb").join(left, ["key", "roota"]).join(right, ["key", "rootb"]).where(_sizes("nx", "ny", similarity))
+    pairs = single.union(crowd.select("x", "y", "nx", "ny")).groupBy(*_ordered("x", "y")).agg(F.count("*").alias("c"), F.max(F.greatest("nx", "ny")).alias("m"), F.max(F.col("nx") + F.col("ny")).alias("both"))
+    # Shared elements outside the two prefixes lie beyond the prefix of the one that ends first.
+    possible = F.col("c") + F.ceil(F.lit(similarity) * F.col("m") - F.lit(TINY)) - 1 + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * F.col("both")
+    rest = verified(cut(pairs.where(possible).select("a", "b")), sets, similarity)
+    return first.where("node__ <> root").select(F.col("node__").alias("a"), F.col("root").alias("b")).union(rest)
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, *carry, group, component_id)``, one row per row of ``df``.
 
     ``group`` names the near copies that a row belongs to; ``component_id`` is
     the group's smallest id, null only if it has no id. Null and empty texts
     and those without words form one group, texts of fewer words than a
     shingle are one shingle, repeated rows fall in one group, and an empty
-    table gives an empty result. ``segments * bits`` is at most 64 times
-    ``LANES``.
+    table gives an empty result.
     """
-    if segments * bits > 64 * LANES:
-        raise ValueError("more segments than the fingerprint has bits for")
-    own = sketches(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text__")), words, LANES, "text__")
-    own = cut(own.withColumn("node", F.col("fp")[0]))
-    nodes = cut(own.groupBy("node").agg(F.min(F.struct("n", "fp")).alias("s"), F.min("id").alias("rep")).select("node", "s.n", "s.fp", "rep"))
-    found = connected_components(links(nodes, similarity, segments, bits)).withColumnRenamed("node", "node__")
+    own = cut(prefixes(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text__")), words, similarity, "text__"))
+    nodes = cut(own.groupBy("node").agg(F.min(F.struct("n", "prefix")).alias("s"), F.min("id").alias("rep")).select("node", "s.n", "s.prefix", "rep"))
+    texts = df.select(F.col(text_col).alias("text__"))
+    found = connected_components(links(nodes, texts, words, similarity)).withColumnRenamed("node", "node__")
     labels = nodes.join(found, F.col("node") == F.col("node__"), "left").select("node", F.coalesce("root", "node").alias("group"), "rep")
     least = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
     labels = labels.join(least, "group").select(F.col("node").alias("node__"), "group", "component_id")
