@@ -199,6 +199,19 @@ def test_near_copies_just_below_the_bound_stay_apart(spark):
     assert [r for r in found if r.component_id != r.id] == []
 
 
+def test_short_near_copies_are_all_found(spark):
+    rnd = random.Random(17)
+    texts = []
+    for small, large in ((4, 5), (6, 7), (8, 10), (12, 15), (20, 25), (28, 35), (100, 125), (4, 6), (12, 16)):  # shingles
+        for _ in range(12):
+            t = [f"w{rnd.randrange(5000)}" for _ in range(large + 4)]
+            texts += [" ".join(t[: small + 4]), " ".join(t)]
+    want = exact_groups(texts)
+    assert sum(r != k for k, r in enumerate(want)) == 7 * 12
+    found = {r.id: r.component_id for r in near_copies.near_copies(make(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert [found[k] for k in range(len(texts))] == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
