@@ -15,9 +15,6 @@ from textloom.llm import bpe, line_dedup, mixing, near_copies, quality
 from textloom.llm.common import cut
 from textloom.session import ship
 
-#: The rejects of the first stage are broadcast up to this many, and joined beyond.
-BROADCAST_ROWS = 1_000_000
-
 ID, TEXT, SOURCE = "doc_id", "text", "source"
 
 
@@ -35,14 +32,9 @@ def _as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a rule, or that lines common on their host deplete, go."""
+    """Documents that break a rule, or that lines common on their host deplete, go; the others lose those lines."""
     ship(spark)
-    verdicts = quality.quality_rules(docs, ID, SOURCE, TEXT)
-    rejects = cut(verdicts.where(~F.col("kept")).select(F.coalesce(F.concat(F.lit("a"), "host"), F.lit("b")).alias("host__"), F.col("t").alias("t__")).distinct())
-    if rejects.count() <= BROADCAST_ROWS:
-        rejects = F.broadcast(rejects)
-    host, text = F.coalesce(F.concat(F.lit("a"), F.col(SOURCE)), F.lit("b")), F.xxhash64(F.coalesce(F.col(TEXT), F.lit("")))
-    return _as_documents(docs.join(rejects, (host == F.col("host__")) & (text == F.col("t__")), "left_anti"), docs)
+    return _as_documents(quality.quality_texts(docs, ID, SOURCE, TEXT), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

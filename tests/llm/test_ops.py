@@ -365,6 +365,23 @@ def test_quality(spark):
     assert all(found[k].kept for k, _, _ in clean) and not any(found[k].kept for k, _, _ in thin) and got
 
 
+def test_quality_removes_lines_above_the_limit(spark):
+    import corpus_pipeline
+
+    body = lambda k: "\n".join(" ".join(f"{w}x{k}{j}".translate(str.maketrans("0123456789", "abcdefghij")) for w in WORDS[:8]) for j in range(2))
+    rows = [(k, f"Page {k}\n{body(k)}\n\n page  {k + 7}", "h") for k in range(30)]  # one line in all, but for its number
+    rows += [(100 + k, f"Page {k}\n{body(100 + k)}", "i" if k else None) for k in range(9)]  # too few on their hosts
+    rows += [(200 + k, f"Page {k}\nfew words", "h") for k in range(3)]  # rejected
+    rows += [(5, rows[5][1], "h")]
+    want = sorted([(k, body(k) + "\n", "h") for k in range(30)] + [(5, body(5) + "\n", "h")] + rows[30:39], key=str)
+    got = quality.quality_texts(make(spark, rows))
+    assert got.columns == make(spark, []).columns
+    assert sorted([(r.doc_id, r.text, r.source) for r in got.collect()], key=str) == want
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    found = corpus_pipeline.quality_stage(spark, docs, "").collect()
+    assert sorted([(r.doc_id, r.text, r.source) for r in found], key=str) == want and all(r.n_chars == len(r.text) for r in found)
+
+
 # --- licences
 
 

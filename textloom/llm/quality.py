@@ -6,7 +6,9 @@ distinct documents are counted; documents with equal texts count once, so that a
 document doesn't fall for its own copies. A line is boilerplate of its host if
 it is in at least ``min_docs`` and in more than ``max_share`` of the host's
 distinct documents. A document is depleted if the boilerplate lines leave it
-fewer than ``min_words`` words or less than ``min_left`` of its words.
+fewer than ``min_words`` words or less than ``min_left`` of its words. Such
+documents and those that break a rule are rejected; from the others
+``quality_texts`` removes the boilerplate lines.
 
 The texts are read once. What goes on from there is a row of numbers for each
 document, with 16 bytes for each of its lines.
@@ -24,6 +26,8 @@ from textloom.llm.common import ASCII_SPACE, cut, table
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+#: Texts that are rejected or lose lines are broadcast up to this many, and joined beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,11 +62,24 @@ def repeat_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count)).cast("long")
 
 
+def normalised(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.btrim(line, F.lit(ASCII_SPACE))), SPACES, " "), "[0-9]+", "0")
+
+
 def line_facts(text: Column) -> Column:
     """For each line with a word: (hash of the normalised line, number of words)."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")
-    plain = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.btrim(x, F.lit(ASCII_SPACE))), SPACES, " "), "[0-9]+", "0")
-    return F.transform(lines, lambda x: let(plain(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.replace(y, F.lit(" "))) + 1).alias("w"))))
+    return F.transform(lines, lambda x: let(normalised(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.replace(y, F.lit(" "))) + 1).alias("w"))))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of the ``hashes``; lines without a word stay."""
+    gone = lambda x: (F.btrim(x, F.lit(ASCII_SPACE)) != "") & F.array_contains(hashes, F.xxhash64(normalised(x)))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~gone(x)), "\n")
+
+
+def host_key(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("a"), host), F.lit("b"))
 
 
 def base_rules(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
@@ -93,28 +110,40 @@ def quality_rules(
     min_words: int = 10,
     min_left: float = 0.3,
 ) -> DataFrame:
-    """``(id, host, t, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)``, a row for each row of ``df``.
+    """``(id, host, t, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, above)``, a row for each row of ``df``.
 
-    ``t`` is the text's 64-bit hash. Null and empty texts have no words and
+    ``t`` is the text's 64-bit hash, ``above`` the hashes of its boilerplate lines, null where it has none. Null and empty texts have no words and
     fail; null hosts are one host; rows with equal host and text share one
     verdict; an empty table gives an empty result.
     """
     docs = cut(base_rules(df, id_col, host_col, text_col))
-    host = F.coalesce(F.concat(F.lit("a"), F.col("host")), F.lit("b"))
+    host = host_key(F.col("host"))
     texts = docs.select(host.alias("host"), "t", "lines").dropDuplicates(["host", "t"])
     many = texts.groupBy("host").agg(F.count("*").alias("n_docs"))
     lines = texts.select("host", "t", F.explode("lines").alias("l")).select("host", "t", "l.h", "l.w")
     once = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     often = once.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     above = often.join(many, "host").where(F.col("n") > F.col("n_docs") * F.lit(float(max_share))).select("host", "h")
-    lost = lines.join(above, ["host", "h"]).groupBy("host", "t").agg(F.sum("w").alias("lost"))
-    lost = lost.select(F.col("host").alias("host__"), F.col("t").alias("t__"), "lost")
+    lost = lines.join(above, ["host", "h"]).groupBy("host", "t").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("above"))
+    lost = lost.select(F.col("host").alias("host__"), F.col("t").alias("t__"), "lost", "above")
     found = docs.select("id", "host", "t", "f.*", "n_symbols", "n_dup_lines").withColumn("key__", host)
     found = found.join(lost, (F.col("key__") == F.col("host__")) & (F.col("t") == F.col("t__")), "left")
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = F.col("lost").isNotNull() & ((left < min_words) | (left < F.col("n_words") * F.lit(float(min_left))))
-    return found.select("id", "host", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return found.select("id", "host", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "above")
+
+
+def quality_texts(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps, their text without the boilerplate lines of their host."""
+    verdicts = quality_rules(df, id_col, host_col, text_col, **limits).where(~F.col("kept") | F.col("above").isNotNull())
+    verdicts = cut(verdicts.select(host_key(F.col("host")).alias("host__"), F.col("t").alias("t__"), "kept", "above").dropDuplicates(["host__", "t__"]).toDF("host__", "t__", "kept__", "above__"))
+    if verdicts.count() <= BROADCAST_ROWS:
+        verdicts = F.broadcast(verdicts)
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = df.join(verdicts, (host_key(F.col(host_col)) == F.col("host__")) & (text == F.col("t__")), "left").where(F.coalesce("kept__", F.lit(True)))
+    rest = F.when(F.col("above__").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("above__")))
+    return found.withColumn(text_col, rest).select(*df.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
