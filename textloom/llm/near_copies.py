@@ -12,12 +12,12 @@ looked at. The most frequent shingles of the sample, ``FREQUENT`` at most, are
 sent to the executors; all others count as rare and go by their hash.
 
 Texts with equal sets are one node. Groups of copies are not paired out: the
-nodes of a shingle are linked to its least and its greatest node first, which
+nodes of a common shingle are linked to its least and its greatest node first, which
 joins most of a large group by links linear in its size; in the full search the
 nodes of one component count as one for each shingle, and only pairs from
 different components leave the join. A pair goes on only if the number of
 prefix elements it shares leaves the similarity possible. Complete sets are
-made again from the texts, and only for nodes that share a prefix element.
+made again from the texts, and only for nodes of such pairs.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ WORDS, SIMILARITY = 5, 0.8
 SAMPLE, OFTEN, FREQUENT = 20_000, 4, 100_000
 #: Shingles in the sets that are broadcast at most; sets of more are joined.
 BROADCAST_SHINGLES = 4_000_000
+#: Names of nodes that are broadcast at most; more are joined.
+BROADCAST_NODES = 1_000_000
+#: Nodes of a shingle from which they are linked to its least and greatest node first.
+CROWD = 16
 #: Against the rounding of products with the similarity.
 TINY = 1e-9
 
@@ -121,6 +125,14 @@ def complete_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, items array<long>")
 
 
+def sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(node, items)`` of the nodes in ``pairs(a, b)``, a row a node."""
+    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if need.count() <= BROADCAST_NODES:
+        need = F.broadcast(need)
+    return cut(complete_sets(texts, words).join(need, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def _sizes(a: str, b: str, similarity: float) -> Column:
     """Whether sets of these sizes can be similar."""
     return F.least(a, b) + F.lit(TINY) >= F.lit(similarity) * F.greatest(a, b)
@@ -130,8 +142,10 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose ``sets(node, items)`` have at least the similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose complete sets, made from ``texts(text__)``, have at least the similarity."""
+    pairs = cut(pairs)
+    sets = sets_of(pairs, texts, words)
     one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
     if (sets.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_SHINGLES:
         one, two = F.broadcast(one), F.broadcast(two)
@@ -145,13 +159,11 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: fl
     Inside a group that links already join, further links are not listed.
     """
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    live = cut(entries.join(ends, "key").select("key", "node", "n", "lo", "hi"))
-    shared = live.select("node").distinct()
-    sets = cut(complete_sets(texts, words).join(shared, "node", "left_semi").dropDuplicates(["node"]))
+    ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    live = cut(entries.join(ends, "key").select("key", "node", "n", "lo", "hi", "many"))
 
-    stars = live.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end").select(*_ordered("node", "end")).distinct()
-    first = cut(connected_components(verified(stars, sets, similarity)).withColumnRenamed("node", "node__"))
+    stars = live.where(F.col("many") >= CROWD).select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end").select(*_ordered("node", "end")).distinct()
+    first = cut(connected_components(verified(stars, texts, words, similarity)).withColumnRenamed("node", "node__"))
 
     members = live.join(first, F.col("node") == F.col("node__"), "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n")
     members = cut(members)
@@ -168,7 +180,7 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: fl
     pairs = single.union(crowd.select("x", "y", "nx", "ny")).groupBy(*_ordered("x", "y")).agg(F.count("*").alias("c"), F.max(F.greatest("nx", "ny")).alias("m"), F.max(F.col("nx") + F.col("ny")).alias("both"))
     # Shared elements outside the two prefixes lie beyond the prefix of the one that ends first.
     possible = F.col("c") + F.ceil(F.lit(similarity) * F.col("m") - F.lit(TINY)) - 1 + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * F.col("both")
-    rest = verified(cut(pairs.where(possible).select("a", "b")), sets, similarity)
+    rest = verified(pairs.where(possible).select("a", "b"), texts, words, similarity)
     return first.where("node__ <> root").select(F.col("node__").alias("a"), F.col("root").alias("b")).union(rest)
 
 
