@@ -14,11 +14,11 @@ rows keep their order within a partition and repeated rows are encoded alike.
 from __future__ import annotations
 
 import gc
-import hashlib
 import json
 import re
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import slices, table
+from textloom.llm.common import give_back, slices, table
 
 NONE, NO_RANK = 1 << 60, np.iinfo(np.int32).max
 #: Unicode white space, as the tokenizers' regular expressions have it.
@@ -35,8 +35,10 @@ WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of non-spaces with the blank before it, or white space. No pre-token crosses these borders.
 PIECE = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-#: Pieces up to SHORT characters are remembered, about CACHED at a time; pre-tokens of up to WIDE pairs are merged together.
-SHORT, CACHED, WIDE = 64, 1 << 18, 64
+#: Pieces up to SHORT characters are remembered, in CACHED bytes at most; pre-tokens of up to WIDE pairs are merged together.
+SHORT, CACHED, WIDE = 64, 32 << 20, 64
+#: Bytes that a remembered piece takes besides its text and ids, about.
+ENTRY = 200
 #: A slice of texts of this many bytes is encoded at a time.
 STEP = 2 << 20
 
@@ -48,33 +50,72 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class ByteBPE:
-    def __init__(self, content: bytes | str):
+class Vocabulary(NamedTuple):
+    """What a vocabulary file says, small enough to be sent to every worker: numbers, and the bytes of each id."""
+
+    bytes_of: list[bytes]
+    byte_id: list[int]
+    special: dict[str, int]
+    left: np.ndarray
+    right: np.ndarray
+    merged: np.ndarray
+
+    @classmethod
+    def parse(cls, content: bytes | str) -> Vocabulary:
         spec = json.loads(content)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *special.values()]))
+        bytes_of = [b""] * (1 + max([*vocab.values(), *special.values()]))
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
+            bytes_of[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
         for token, i in special.items():
-            self.bytes_of[i] = token.encode()
-        self.byte_id = [0] * 256
+            bytes_of[i] = token.encode()
+        byte_id = [0] * 256
         for c, b in symbols.items():
-            self.byte_id[b] = vocab[c]
+            byte_id[b] = vocab[c]
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"]]
+        columns = ([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs])
+        return cls(bytes_of, byte_id, special, *(np.array(x, np.int32) for x in columns))
+
+
+class Decoder:
+    def __init__(self, words: Vocabulary):
+        self.bytes_of = words.bytes_of
+
+    def decode(self, ids: Sequence[int]) -> str:
+        n, of = len(self.bytes_of), self.bytes_of
+        try:
+            if min(ids, default=0) >= 0:
+                return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
+        except (IndexError, TypeError):
+            pass
+        return b"".join(of[i] for i in ids if i is not None and 0 <= i < n).decode("utf-8", "replace")
+
+
+class ByteBPE:
+    def __init__(self, words: Vocabulary | bytes | str):
+        words = words if isinstance(words, Vocabulary) else Vocabulary.parse(words)
+        special = words.special
+        self.byte_id = words.byte_id
+        #: (rank, id of the merged pair) of each pair of ids; the first of equal pairs counts.
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        for rank, (a, b, new) in enumerate(zip(words.left.tolist(), words.right.tolist(), words.merged.tolist())):
+            self.merges.setdefault((a, b), (rank, new))
         self.special = {t: np.int32(i).tobytes() for t, i in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        order = sorted((left << 32 | right, rank) for (left, right), (rank, _) in self.merges.items())
-        self.keys = np.array([k for k, _ in order] or [-1], np.int64)
-        self.ranks = np.array([r for _, r in order] or [NO_RANK], np.int32)
-        self.merged = np.zeros(1 + max((r for r, _ in self.merges.values()), default=0), np.int32)
-        for rank, new in self.merges.values():
-            self.merged[rank] = new
+        keys = words.left.astype(np.int64) << 32 | words.right
+        first = np.unique(keys, return_index=True)
+        self.keys, self.ranks = first[0], first[1].astype(np.int32)
+        if not len(keys):
+            self.keys, self.ranks = np.array([-1], np.int64), np.array([NO_RANK], np.int32)
+        self.merged = words.merged
         self.byte_ids = np.array(self.byte_id, np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered pieces."""
         self.known: dict[str, bytes] = dict(self.special)
+        self.held = 0
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -209,8 +250,8 @@ class ByteBPE:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, as little-endian 32-bit integers."""
-        if len(self.known) > CACHED:
-            self.known = dict(self.special)
+        if self.held > CACHED:
+            self.forget()
         known, missing = self.known, set()
         cut: list[tuple[list[str], list[bytes | None]]] = []
         for text in texts:
@@ -222,61 +263,70 @@ class ByteBPE:
                 missing.update([p for p, x in zip(pieces, ids) if x is None])
             cut.append((pieces, ids))
         found = self._learn(list(missing))
-        known.update((p, x) for p, x in found.items() if len(p) <= SHORT)
+        short = {p: x for p, x in found.items() if len(p) <= SHORT}
+        known.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
         return [b"".join([x or found[p] for p, x in zip(pieces, ids)] if None in ids else ids) for pieces, ids in cut]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
-    def decode(self, ids: Sequence[int]) -> str:
-        n, of = len(self.bytes_of), self.bytes_of
-        try:
-            return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
-        except (IndexError, TypeError):
-            return b"".join(of[i] for i in ids if i is not None and 0 <= i < n).decode("utf-8", "replace")
-
 
-@lru_cache(maxsize=4)
-def _codec(digest: str, content: bytes) -> ByteBPE:
-    return ByteBPE(content)
+@contextmanager
+def _released(make: Callable[[Vocabulary], object], words: Vocabulary) -> Iterator:
+    """What ``make`` builds of the vocabulary, for one task: a worker that waits for its next task holds none of it."""
+    was = gc.isenabled()
+    gc.disable()  # no cycles here, and millions of small objects to look through
+    try:
+        yield make(words)
+    finally:
+        if was:
+            gc.enable()
+        give_back()
 
 
 def _shipped(spark: SparkSession, path: str):
     """The vocabulary file, read by the driver (a megabyte or two) and sent to the executors."""
     with open(path, "rb") as f:
-        content = f.read()
-    return spark.sparkContext.broadcast((hashlib.md5(content).hexdigest(), content))
+        return spark.sparkContext.broadcast(Vocabulary.parse(f.read()))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the ids of ``text_col`` in ``ids_col`` (array<int>); a column of that name is replaced."""
+    """``df`` with the ids of ``text_col`` in ``ids_col`` (array<int>); a column of that name is replaced.
+
+    Null and empty texts have no ids; repeated rows are encoded alike; an empty table gives an empty result.
+    """
     df = df.drop(ids_col) if ids_col != text_col else df
     shipped, at = _shipped(df.sparkSession, path), df.columns.index(text_col)
     out = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(*shipped.value)
-        gc.disable()  # no cycles here, and millions of small objects to look through
-        for batch in slices(batches, at, STEP):
-            found = codec.encode_many(batch.column(at).to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=out.names)
+        with _released(ByteBPE, shipped.value) as codec:
+            for batch in slices(batches, at, STEP):
+                found = codec.encode_many(batch.column(at).to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+                del found
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=out.names)
 
     return df.mapInArrow(run, out)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``ids_col`` in ``text_col``, special tokens included; null ids give an empty text."""
+    """``df`` with the text of ``ids_col`` in ``text_col``, special tokens included; a column of that name is replaced.
+
+    Null lists give an empty text, null and unknown ids nothing, broken UTF-8 the replacement character; an empty
+    table gives an empty result.
+    """
     df = df.drop(text_col)
     shipped, at = _shipped(df.sparkSession, path), df.columns.index(ids_col)
     out = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(*shipped.value)
-        for batch in slices(batches, at):
-            texts = [codec.decode(x) if x else "" for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=out.names)
+        with _released(Decoder, shipped.value) as codec:
+            for batch in slices(batches, at, STEP):
+                texts = pa.array([codec.decode(x) if x else "" for x in batch.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=out.names)
 
     return df.mapInArrow(run, out)
 

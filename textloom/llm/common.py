@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -43,6 +44,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
             yield batch.slice(start, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker that waits for its next task counts as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as bytes; null as an empty text."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
