@@ -1,23 +1,30 @@
-"""Near copies down to a word-shingle similarity, by an exact prefix-filtered join of shingle sets.
-
-Two sets of sizes m and n have a Jaccard similarity of at least s only if they
-share s / (1 + s) * (m + n) elements. If all sets are put in one order, such
-two share an element among the first n - ceil(s * n) + 1 of each (its prefix),
-and no pair is lost whatever the order. What meets there is decided by the
-exact similarity of the complete sets, so nothing below s is linked either.
-
-The order has the shingles first that are rare in a sample of the texts, so that
-common passages seldom are in a prefix. It decides only how many pairs are
-looked at. The most frequent shingles of the sample, ``FREQUENT`` at most, are
-sent to the executors; all others count as rare and go by their hash.
-
-Texts with equal sets are one node. Groups of copies are not paired out: the
-nodes of a common shingle are linked to its least and its greatest node first, which
-joins most of a large group by links linear in its size; in the full search the
-nodes of one component count as one for each shingle, and only pairs from
-different components leave the join. A pair goes on only if the number of
-prefix elements it shares leaves the similarity possible. Complete sets are
-made again from the texts, and only for nodes of such pairs.
+"""Near copies down to a word-shingle similarity: SimHash with multi-index hashing, then an exact search of the rest.
+
+Texts with equal sets of shingles are one node. Links come in two passes, and
+every one is decided by the exact Jaccard similarity of two complete sets, so
+nothing below the bound is linked.
+
+The first pass looks up fingerprints (``simhash.links``): nodes whose
+fingerprints differ in few bits are candidates. That finds most copies, but
+fingerprints of 64 bits lose pairs near the bound (the README has figures). So
+the second pass is one that loses none, for pairs the first left apart: put all
+sets in one order; if two of sizes m and n share ``s / (1 + s) * (m + n)`` elements,
+as a similarity of s needs, their first common element lies so early in both
+that as many follow in either. So each set is entered under its first
+``n - ceil(s * n) + 1`` elements with their places, and two sets meet under a common
+element only where the places allow the similarity.
+
+The order has the shingles first that are rare in a sample of the texts. It
+decides only how many pairs are looked at. The most frequent shingles of the
+sample, ``FREQUENT`` at most, are sent to the executors; all others count as rare and
+go by their hash.
+
+Groups of copies are not paired out. Under a crowded element every node is first
+paired with one only, the node that has the element earliest in its own order:
+a text of which the others are altered copies has no rare shingles, so it is
+that one for most of them. In the second pass the nodes of one component
+count as one for each element, and only pairs from different components leave
+the join. Their complete sets are made again from the texts.
 """
 
 from __future__ import annotations
@@ -32,35 +39,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm import simhash
 from textloom.llm.common import cut, slices, utf8
 from textloom.llm.components import connected_components
 from textloom.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of candidates may differ, and the segments they are looked up by.
+MAX_DISTANCE, SEGMENTS = 3, 2
 #: Texts in the sample for the order, texts of it that make a shingle frequent, and frequent shingles sent out at most.
-SAMPLE, OFTEN, FREQUENT = 20_000, 4, 100_000
+SAMPLE, OFTEN, FREQUENT = 8_000, 3, 100_000
 #: Shingles in the sets that are broadcast at most; sets of more are joined.
 BROADCAST_SHINGLES = 4_000_000
 #: Names of nodes that are broadcast at most; more are joined.
-BROADCAST_NODES = 1_000_000
-#: Nodes of a shingle from which they are linked to its least and greatest node first.
+BROADCAST_NODES = 500_000
+#: Nodes of an element from which they are paired with one of them first.
 CROWD = 16
 #: Against the rounding of products with the similarity.
 TINY = 1e-9
+#: Bytes of text that are worked on at a time.
+STEP = 4 << 20
 
 
 def shingle_set(data: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(data, words))
 
 
-def _node(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+    """Lists of numbers; None stays null."""
+    offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in arrays]))).astype(np.int32)
+    some = [x for x in arrays if x is not None]
+    values = np.concatenate(some) if some else np.empty(0, np.uint64)
+    mask = pa.array([x is None for x in arrays], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)), mask=mask)
 
 
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,60 +103,69 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar
     return hashes[np.lexsort((hashes, rank))[:size]]
 
 
-def prefixes(df: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
-    """``df`` without its text, with ``node`` (the name of the set), ``n`` (its size) and ``prefix``."""
+def described(df: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """``df`` without its text, with what is known of the text's set.
+
+    ``s1, s2``: its 128-bit name; ``n``: its size; ``fp``: its fingerprint;
+    ``prefix``: its first elements, null where the task has already given them
+    for an equal set.
+    """
     at = df.columns.index(text_col)
     rest = [k for k in range(len(df.columns)) if k != at]
-    out = T.StructType([*(df.schema.fields[k] for k in rest), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    long = T.LongType()
+    out = T.StructType([*(df.schema.fields[k] for k in rest), *(T.StructField(x, long) for x in ("s1", "s2", "n", "fp")), T.StructField("prefix", T.ArrayType(long))])
     sent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df.select(F.col(text_col).alias("text__")), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = sent.value
-        for batch in slices(batches, at):
-            nodes, sizes, firsts = [], [], []
+        seen: set[bytes] = set()
+        for batch in slices(batches, at, STEP):
+            names, sizes, fps, firsts = [], [], [], []
             for x in utf8(batch.column(at)):
                 hashes = shingle_set(x, words)
-                nodes.append(_node(hashes))
+                name = xxhash.xxh3_128_digest(hashes.tobytes())
+                names.append(name)
                 sizes.append(len(hashes))
-                firsts.append(prefix(hashes, frequent, counts, similarity))
-            found = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts)]
+                fps.append(simhash.fingerprint(hashes))
+                firsts.append(None if name in seen else prefix(hashes, frequent, counts, similarity))
+                seen.add(name)
+            halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            found = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), _lists(firsts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *found], names=out.names)
 
     return df.mapInArrow(run, out)
 
 
-def complete_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``(node, items)`` of ``texts(text__)``, a row a text."""
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, 1 << 20):
-            sets = [shingle_set(x, words) for x in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "items"])
 
-    return texts.mapInArrow(run, "node long, items array<long>")
+def sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(node, items)``: the complete sets of the nodes in ``pairs(a, b)``, a row a node, from ``texts(text__)``."""
 
-
-def sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``(node, items)`` of the nodes in ``pairs(a, b)``, a row a node."""
-    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, 1, 1 << 20):
+            found: dict[int, np.ndarray] = {}
+            for node, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                if node not in seen:
+                    seen.add(node)
+                    found[node] = shingle_set(x, words)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], names=["node", "items"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    need = cut(nodes.join(ends, "node", "left_semi").select("node", F.col("t1").alias("w1"), F.col("t2").alias("w2")))
     if need.count() <= BROADCAST_NODES:
         need = F.broadcast(need)
-    return cut(complete_sets(texts, words).join(need, "node", "left_semi").dropDuplicates(["node"]))
-
-
-def _sizes(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return F.least(a, b) + F.lit(TINY) >= F.lit(similarity) * F.greatest(a, b)
-
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    keyed = texts.select("text__", *_text_key(F.col("text__")))
+    wanted = keyed.join(need, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("node", "text__")
+    return cut(wanted.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose complete sets, made from ``texts(text__)``, have at least the similarity."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose complete sets have at least the similarity."""
     pairs = cut(pairs)
-    sets = sets_of(pairs, texts, words)
+    sets = sets_of(pairs, nodes, texts, words)
     one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
     if (sets.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_SHINGLES:
         one, two = F.broadcast(one), F.broadcast(two)
@@ -153,34 +173,48 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return found.where(F.col("shared") + F.lit(TINY) >= F.lit(similarity) * (F.col("both") - F.col("shared"))).select("a", "b")
 
 
+def _allowed(similarity: float, na: str, nb: str, ra: str, rb: str) -> Column:
+    """Whether sets of sizes ``na`` and ``nb`` that have ``ra`` and ``rb`` elements from their first common one on can be similar."""
+    return F.least(ra, rb) + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * (F.col(na) + F.col(nb))
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs of nodes by their fingerprints: each node with the first of its fingerprint, and those of near ones."""
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    equal = nodes.join(firsts, "fp").where("node <> rep").select(*_ordered("node", "rep"))
+    near = simhash.links(firsts.select("fp"), MAX_DISTANCE, SEGMENTS)
+    one, two = (firsts.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
+    return equal.union(near.join(one, "a").join(two, "b").select(*_ordered("ra", "rb")))
+
+
 def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that join all similar ``nodes(node, n, prefix)`` and no others.
+    """Links ``(a, b)`` that join all similar ``nodes(node, t1, t2, n, fp, prefix)`` and no others.
 
     Inside a group that links already join, further links are not listed.
     """
-    entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-    live = cut(entries.join(ends, "key").select("key", "node", "n", "lo", "hi", "many"))
+    # r: the element and all after it. One exchange serves both the counts and the join with them.
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("r"))
+    entries = entries.repartition("key")
+    ends = entries.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("pos"), "node", "n")).alias("h"), F.count("*").alias("many")).where("many > 1")
+    live = cut(entries.join(ends, "key").select("key", "node", "n", "r", "many", F.col("h.node").alias("hub"), F.col("h.n").alias("hn"), (F.col("h.n") - F.col("h.pos")).alias("hr")))
 
-    stars = live.where(F.col("many") >= CROWD).select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end").select(*_ordered("node", "end")).distinct()
-    first = cut(connected_components(verified(stars, texts, words, similarity)).withColumnRenamed("node", "node__"))
+    stars = live.where(F.col("many") >= CROWD).where("node <> hub").where(_allowed(similarity, "n", "hn", "r", "hr")).select(*_ordered("node", "hub"))
+    first = cut(connected_components(verified(near_fingerprints(nodes).union(stars).distinct(), nodes, texts, words, similarity)).withColumnRenamed("node", "node__"))
 
-    members = live.join(first, F.col("node") == F.col("node__"), "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n")
-    members = cut(members)
-    groups = members.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    one, two = (groups.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("root", "lo", "hi", "n0", "n1"))) for x in "ab")
-    fits = (F.col("n1a") + F.lit(TINY) >= F.lit(similarity) * F.col("n0b")) & (F.col("n1b") + F.lit(TINY) >= F.lit(similarity) * F.col("n0a"))
-    met = one.join(two, (one["key"] == two["key"]) & (F.col("roota") < F.col("rootb")) & fits).drop(two["key"])
-    met = cut(met)
+    members = cut(live.join(first, F.col("node") == F.col("node__"), "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "r"))
+    groups = members.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n"), F.max("r").alias("r"))
+    one, two = (groups.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("root", "lo", "hi", "n", "r"))) for x in "ab")
+    met = cut(one.join(two, (one["key"] == two["key"]) & (F.col("roota") < F.col("rootb")) & _allowed(similarity, "na", "nb", "ra", "rb")).drop(two["key"]))
 
     alone = (F.col("loa") == F.col("hia")) & (F.col("lob") == F.col("hib"))
-    single = met.where(alone).select(F.col("loa").alias("x"), F.col("lob").alias("y"), F.col("n0a").alias("nx"), F.col("n0b").alias("ny"))
-    left, right = (members.select("key", F.col("root").alias(f"root{x}"), F.col("node").alias(y), F.col("n").alias(f"n{y}")) for x, y in ("ax", "by"))
-    crowd = met.where(~alone).select("key", "roota", "rootb").join(left, ["key", "roota"]).join(right, ["key", "rootb"]).where(_sizes("nx", "ny", similarity))
-    pairs = single.union(crowd.select("x", "y", "nx", "ny")).groupBy(*_ordered("x", "y")).agg(F.count("*").alias("c"), F.max(F.greatest("nx", "ny")).alias("m"), F.max(F.col("nx") + F.col("ny")).alias("both"))
-    # Shared elements outside the two prefixes lie beyond the prefix of the one that ends first.
-    possible = F.col("c") + F.ceil(F.lit(similarity) * F.col("m") - F.lit(TINY)) - 1 + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * F.col("both")
-    rest = verified(pairs.where(possible).select("a", "b"), texts, words, similarity)
+    single = met.where(alone).select(F.col("loa").alias("x"), F.col("lob").alias("y"))
+    left, right = (members.select("key", F.col("root").alias(f"root{x}"), F.col("node").alias(y), F.col("n").alias(f"n{y}"), F.col("r").alias(f"r{y}")) for x, y in ("ax", "by"))
+    crowd = met.where(~alone).select("key", "roota", "rootb").join(left, ["key", "roota"]).join(right, ["key", "rootb"]).where(_allowed(similarity, "nx", "ny", "rx", "ry"))
+    rest = verified(single.union(crowd.select("x", "y")).select(*_ordered("x", "y")).distinct(), nodes, texts, words, similarity)
     return first.where("node__ <> root").select(F.col("node__").alias("a"), F.col("root").alias("b")).union(rest)
 
 
@@ -191,13 +225,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     the group's smallest id, null only if it has no id. Null and empty texts
     and those without words form one group, texts of fewer words than a
     shingle are one shingle, repeated rows fall in one group, and an empty
-    table gives an empty result.
+    table gives an empty result. ``carry`` may name any columns of ``df``; other
+    columns don't matter, whatever their names.
     """
-    own = cut(prefixes(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text__")), words, similarity, "text__"))
-    nodes = cut(own.groupBy("node").agg(F.min(F.struct("n", "prefix")).alias("s"), F.min("id").alias("rep")).select("node", "s.n", "s.prefix", "rep"))
-    texts = df.select(F.col(text_col).alias("text__"))
-    found = connected_components(links(nodes, texts, words, similarity)).withColumnRenamed("node", "node__")
-    labels = nodes.join(found, F.col("node") == F.col("node__"), "left").select("node", F.coalesce("root", "node").alias("group"), "rep")
+    kept = [f"carry{k}__" for k in range(len(carry))]
+    rows = df.select(F.col(id_col).alias("id"), *(F.col(c).alias(k) for c, k in zip(carry, kept)), F.coalesce(F.col(text_col), F.lit("")).alias("text__"))
+    rows = rows.select("*", *_text_key(F.col("text__")))
+    own = cut(described(rows, words, similarity, "text__"))
+    distinct = own.where(F.col("prefix").isNotNull()).dropDuplicates(["s1", "s2"])
+    # Numbers, not hashes, name the nodes from here on: no two sets share one.
+    nodes = cut(distinct.select("s1", "s2", F.monotonically_increasing_id().alias("node"), "t1", "t2", "n", "fp", "prefix"))
+    found = connected_components(links(nodes.drop("s1", "s2"), rows.select("text__"), words, similarity)).withColumnRenamed("node", "node__")
+    labels = nodes.join(found, F.col("node") == F.col("node__"), "left").select("s1", "s2", F.coalesce("root", "node").alias("group"))
+    reps = own.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    labels = labels.join(reps, ["s1", "s2"])
     least = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(least, "group").select(F.col("node").alias("node__"), "group", "component_id")
-    return own.join(labels, F.col("node") == F.col("node__")).select("id", *carry, "group", "component_id")
+    labels = labels.join(least, "group").select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), "group", "component_id")
+    joined = own.join(labels, (F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")))
+    return joined.select("id", *(F.col(k).alias(c) for c, k in zip(carry, kept)), "group", "component_id")
