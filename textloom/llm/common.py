@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where none is
-    set, as in tests on one machine, a temporary folder takes its place.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a session on one
+    machine (``local[..]``), as in tests, may do without and gets a temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loom-checkpoint-"))
     return df.checkpoint(eager=True)
 
