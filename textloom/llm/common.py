@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,17 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 16 << 20
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores more as keep it apart from ``columns`` (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import cut, slices, table, utf8
+from textloom.llm.common import cut, fresh, slices, table, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of a filter for each line, bits set for a key, and the bounds of a filter's bits as powers of two.
@@ -170,7 +170,8 @@ def repeated_keys(df: DataFrame, id_col: str, text_col: str, min_docs: int, min_
 def drop_lines(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, min_chars: int, keep_first: bool, names: tuple[str, str], broadcast_keys: int) -> DataFrame:
     docs = df.drop(*names)
     base = docs.columns
-    docs = docs.select("*", *(c.alias(f"{n}__") for c, n in zip(_row_key(F.col(id_col), F.col(text_col)), ("r1", "r2"))))
+    one, two, lost = fresh([*base, *names], "r1__", "r2__", "gone__")
+    docs = docs.select("*", *(c.alias(n) for c, n in zip(_row_key(F.col(id_col), F.col(text_col)), (one, two))))
     at = base.index(text_col)
     fields = [*docs.schema.fields[: len(base)], T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())]
     fields[at] = T.StructField(text_col, T.StringType())
@@ -225,12 +226,12 @@ def drop_lines(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, min_c
             halves, take = _halves(found).view(np.int64), pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column(1).take(take), batch.column(2).take(take), pa.array(lines, pa.int32())], names=["k1", "k2", "r1__", "r2__", "at"])
 
-    marks = docs.select(F.col(text_col).alias("text"), "r1__", "r2__").mapInArrow(lines_of, "k1 long, k2 long, r1__ long, r2__ long, at int")
+    marks = docs.select(F.col(text_col).alias("text"), F.col(one).alias("r1__"), F.col(two).alias("r2__")).mapInArrow(lines_of, "k1 long, k2 long, r1__ long, r2__ long, at int")
     hit = marks.join(keys, ["k1", "k2"])
     if keep_first:
         hit = hit.where(~((F.col("r1") == F.col("r1__")) & (F.col("r2") == F.col("r2__")) & (F.col("line") == F.col("at"))))
-    gone = hit.groupBy("r1__", "r2__").agg(F.collect_set("at").alias("gone__"))
-    joined = docs.join(gone, ["r1__", "r2__"], "left").select(*base, "gone__")
+    gone = hit.groupBy(F.col("r1__").alias(one), F.col("r2__").alias(two)).agg(F.collect_set("at").alias(lost))
+    joined = docs.join(gone, [one, two], "left").select(*base, lost)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
@@ -257,8 +258,9 @@ def line_dedup(
     With ``keep_first`` each key's first occurrence stays: the lowest such line
     of the row with the smallest id. Null and empty texts are one empty line;
     a text of which no line is left is empty. Every row counts as a document;
-    columns named like ``names`` are replaced; an empty table gives an empty
-    result. Rows equal in id and text are treated alike.
+    columns named like ``names`` are replaced, all others are kept whatever their
+    names; an empty table gives an empty result. Rows equal in id and text are
+    treated alike.
     """
     keys = repeated_keys(df, id_col, text_col, min_docs, min_chars)
     return drop_lines(df, keys, id_col, text_col, min_chars, keep_first, names, broadcast_keys)
@@ -270,12 +272,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH l AS (
-  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line
-  FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line
+  FROM d),
 k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+FROM k LEFT JOIN f USING (key) GROUP BY r, doc_id
 """

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
+    "quality_texts": quality.quality_text_digests,
 }
 ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
@@ -20,4 +21,5 @@ ORACLES = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
     "op10_licenses": licenses.OP10_SQL,
+    "quality_texts": quality.TEXTS_SQL,
 }
