@@ -110,8 +110,11 @@ def mix(df: DataFrame, weights: Sequence[float], max_repeats: float = 3, id_col:
       on. Rows with words that no slot takes have one piece without a slot, of no words.
 
     ``src`` is "a" and the source, or "b" for null, which orders as the
-    weights are dealt. Rows without words are in no piece. An empty table, or
-    one without words, gives an empty mix.
+    weights are dealt. Rows without words, whether null or empty, are in no
+    piece; a text of any length is cut at the ends of blocks only. Rows with
+    equal ids keep apart by their sizes and lie side by side. An empty table, or
+    one without words, gives an empty mix. Other columns of ``df`` don't matter,
+    whatever their names.
     """
     spark = df.sparkSession
     src = F.coalesce(F.concat(F.lit("a"), F.col(source_col)), F.lit("b"))
@@ -142,10 +145,18 @@ def mix(df: DataFrame, weights: Sequence[float], max_repeats: float = 3, id_col:
 
 
 def taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``(id, src, size, taken)``: the words of each row that the mix takes, repeats counted."""
-    some = pieces.groupBy("src", "start", "id", "size").agg(F.sum("words").alias("taken"))
-    none = documents.where("size = 0").select("id", "src", "size", F.lit(0).cast("long").alias("taken"))
-    return some.select("id", "src", "size", "taken").unionByName(none)
+    """``(id, src, size, taken, first_slot, slots)`` of each row.
+
+    ``taken``: its words in the mix, repeats counted; ``first_slot``: the first
+    slot that takes a word of it, null if none does; ``slots``: in order, those
+    that take its beginning, one for each repeat.
+    """
+    some = pieces.groupBy("src", "start", "id", "size").agg(
+        F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"), F.array_sort(F.collect_list(F.when((F.col("words") > 0) & (F.col("first") == 0), F.col("slot")))).alias("slots")
+    )
+    nothing = [F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.array().cast("array<long>").alias("slots")]
+    none = documents.where("size = 0").select("id", "src", "size", *nothing)
+    return some.select(*none.columns).unionByName(none)
 
 
 #: The weights of the contract: they repeat over the sources.
@@ -154,13 +165,14 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, plan, pieces = mix(table(spark, sf_dir, "documents"), WEIGHTS)
-    return taken(documents, pieces).join(plan, "src").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken(documents, pieces).join(plan, "src").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
 
 
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS src, md5(cast(doc_id AS VARCHAR)) AS o,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size
   FROM documents),
 s AS (SELECT src, cast(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY src) AS k FROM d GROUP BY src),
 w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 3.0::DOUBLE AS cap FROM s),
@@ -173,9 +185,24 @@ m AS (SELECT arg_min(level, cap / w) AS level FROM o WHERE open),
 t AS (SELECT src, source_size, CASE WHEN open THEN m.level * w ELSE cap END AS target FROM o, m),
 p AS (
   SELECT d.*, t.source_size, t.target, cast(floor(t.target) AS BIGINT) AS q,
-         coalesce(sum(size) OVER (PARTITION BY d.src ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.src = t.src)
+         cast(coalesce(sum(size) OVER (PARTITION BY d.src ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.src = t.src),
+-- The schedule: slots of a source, the golden-ratio points in its part of the unit interval, and what the points leave out.
+c AS (
+  SELECT src, (q // source_size) * ((source_size + 4095) // 4096) + (q % source_size + 4095) // 4096 AS slots
+  FROM (SELECT src, source_size, cast(floor(target) AS BIGINT) AS q FROM t WHERE source_size > 0)),
+e AS (
+  SELECT src, slots, coalesce(sum(slots) OVER (), 0) AS n, cast(floor(sum(slots) OVER (ORDER BY src) / (sum(slots) OVER ())::DOUBLE * 2147483648) AS BIGINT) AS hi FROM c),
+e2 AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM e),
+x AS (SELECT i AS slot, (i * 1327217885) % 2147483648 AS x FROM range((SELECT cast(coalesce(max(n), 0) AS BIGINT) FROM e)) r(i)),
+g AS (SELECT slot, src, slots, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM x JOIN e2 ON lo <= x AND x < hi),
+had AS (SELECT e2.src, e2.slots, count(g.slot) AS dealt FROM e2 LEFT JOIN g ON g.src = e2.src GROUP BY e2.src, e2.slots),
+late AS (
+  SELECT (SELECT cast(max(n) AS BIGINT) FROM e) + row_number() OVER (ORDER BY rank, src) - 1 AS slot, src, rank
+  FROM (SELECT src, unnest(range(dealt, slots)) AS rank FROM had WHERE dealt < slots)),
+sch AS (SELECT slot, src, rank FROM g WHERE rank < slots UNION ALL SELECT slot, src, rank FROM late)
 SELECT doc_id, cast(size AS BIGINT) AS size, source_size, target,
-       cast(CASE WHEN size = 0 THEN 0 ELSE (q // source_size) * size + greatest(0, least(size, q % source_size - start)) END AS BIGINT) AS taken
-FROM p
+       cast(CASE WHEN size = 0 THEN 0 ELSE (q // source_size) * size + greatest(0, least(size, q % source_size - start)) END AS BIGINT) AS taken,
+       cast(CASE WHEN size > 0 AND (q // source_size > 0 OR start < q % source_size) THEN sch.slot ELSE -1 END AS BIGINT) AS first_slot
+FROM p LEFT JOIN sch ON sch.src = p.src AND sch.rank = p.start // 4096
 """
