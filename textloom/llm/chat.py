@@ -19,17 +19,33 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, table
 
-#: Turns of a block.
-BLOCK = 256
+#: Turns of a block, and the number a turn without one has.
+BLOCK, NO_TURN = 256, -(1 << 63)
+#: Repeated (conversation, turn, role) that are broadcast at most; more are joined.
+BROADCAST_TIES = 500_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def _tied(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``tie``: the text where another turn of the conversation has the same number and role, else null.
+
+    Only such turns are told apart by their texts, so only their texts are moved before it is known which conversations stay.
+    """
+    ties = cut(turns.groupBy("conv", "turn", "role").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r")))
+    n = ties.count()
+    if not n:
+        return turns.withColumn("tie", F.lit(None).cast("string"))
+    here = F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("role") == F.col("r"))
+    joined = turns.join(F.broadcast(ties) if n <= BROADCAST_TIES else ties, here, "left")
+    return joined.select("conv", "turn", "role", "text", F.when(F.col("t").isNotNull(), F.col("text")).alias("tie"))
+
+
 def _hashed(turns: DataFrame) -> DataFrame:
-    """``(conv, pos, p1, p2, x1, x2)``: each turn's place from 1 and the name of the prefix that it ends."""
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    block = F.expr(f"coalesce(turn div {BLOCK}, -9223372036854775808L)").alias("block")
-    rows = turns.select("conv", "turn", "role", F.xxhash64("text").alias("text"), F.xxhash64(F.lit(1), "text").alias("text2"), block)
-    inside = Window.partitionBy("conv", "block").orderBy(*order, "text2")
+    """``(conv, pos, p1, p2)``: each turn's place from 1 and the name of the prefix that it ends."""
+    order = ["turn", "role", "tie"]
+    block = F.expr(f"turn div {BLOCK}").alias("block")
+    rows = _tied(turns).select("conv", "turn", "role", "tie", F.xxhash64("text").alias("text"), F.xxhash64(F.lit(1), "text").alias("text2"), block)
+    inside = Window.partitionBy("conv", "block").orderBy(*order)
     rows = rows.withColumn("r", F.row_number().over(inside))
     per = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,16 +82,17 @@ def render(role: Column, text: Column) -> Column:
 def chat_format(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv_id, n_turns, n_logs, text)``, a row for each maximal conversation.
 
-    Turns are ordered by number (null first), then role and text. Null roles
+    Turns are ordered by number (null first), then role and text, both by code points. Null roles
     and texts are empty; rows without a conversation id are one conversation,
     which has a null id and loses ties; repeated rows are repeated turns. An
-    empty table gives an empty result.
+    empty table gives an empty result. Other columns of ``df`` don't matter,
+    whatever their names; a conversation of any length is one text in the end.
     """
-    turns = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    turns = df.select(F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(NO_TURN)).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = cut(maximal(turns))
     own = kept.select(F.col("conv").alias("c"), "n_turns", "n_logs")
     said = turns.join(own, F.col("conv").eqNullSafe(F.col("c")))
-    turn = F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text")
+    turn = F.struct("turn", "role", "text")
     lines = F.transform(F.array_sort(F.collect_list(turn)), lambda x: render(x["role"], x["text"]))
     return said.groupBy("conv", "n_turns", "n_logs").agg(F.array_join(lines, "\n").alias("text")).select(F.col("conv").alias("conv_id"), "n_turns", "n_logs", "text")
 
@@ -90,7 +107,7 @@ WITH t AS (
          sha256(string_agg(length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, ''), '') OVER w) AS p,
          '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' AS line
   FROM conversations
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '') ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 e AS (SELECT conv_id, max(pos) AS n, arg_max(p, pos) AS p FROM t GROUP BY conv_id),
 g AS (SELECT min(conv_id) AS conv_id, n, p, count(*) AS n_logs FROM e GROUP BY n, p),
 proper AS (SELECT DISTINCT t.p FROM t JOIN e ON t.conv_id = e.conv_id AND t.pos < e.n)
