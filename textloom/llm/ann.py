@@ -2,9 +2,10 @@
 
 Vectors are projected to a few dimensions and ordered along a Hilbert curve,
 several times with other projections and shifts. Each ordering is cut into
-windows of equal numbers of vectors, and a query is compared with the windows
-around its own place; what the orderings find is merged and ranked by the exact
-distance of the original vectors.
+windows of about equal numbers of vectors, and Spark partitions it by range: a
+task holds some neighbouring windows. A query goes to the tasks that hold
+windows around its own place and is compared with these windows; what windows and
+orderings find is merged and ranked by the exact distance of the original vectors.
 
 How many windows a query looks at is calibrated: for a bounded sample of queries
 (``CALIBRATION``) the true neighbours are found by brute force, and the reach is
@@ -14,12 +15,14 @@ curve, need many, and the search then nears brute force in blocks, which is the
 price of the recall on such data.
 
 Equal vectors are indexed by their ``k + 1`` smallest ids, as no query can
-return more of them; so one vector held by most rows is a few rows.
+return more of them; so one vector held by most rows is a few rows. Different
+vectors with one key are spread over the windows that the key fills.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, table
 
-#: Orderings, projected dimensions and bits of each, vectors of a window, and the largest number of windows.
-CURVES, DIMS, BITS, WINDOW_ROWS, MAX_WINDOWS = 4, 6, 10, 512, 4096
+#: Orderings, projected dimensions and bits of each, vectors of a window, and windows of a task's range.
+CURVES, DIMS, BITS, WINDOW_ROWS, RANGE = 4, 6, 10, 512, 16
+#: Rows whose keys tell where windows end, and windows of an ordering at most; beyond WINDOW_ROWS times that, windows grow.
+EDGE_ROWS, MAX_WINDOWS = 1 << 20, 1 << 16
 #: Rows from which means and spreads are taken, sampled queries, and the share of their neighbours to be within reach.
-FIT_ROWS, CALIBRATION, RECALL = 4096, 96, 0.97
+FIT_ROWS, CALIBRATION, RECALL = 4096, 96, 0.96
 SEED = 20240501
 #: Distances that are computed at once.
 CELLS = 4_000_000
@@ -146,6 +151,81 @@ def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got["id"].to_numpy(), np.array(got["v"].to_pylist(), np.float64)
 
 
+@dataclass
+class Layout:
+    """Where vectors lie: the orderings, the upper ends of their windows, and how many windows a query looks at on each side."""
+
+    curves: Curves
+    edges: list[np.ndarray]
+    windows: int
+    reach: int = 0
+
+    def places(self, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """A column of window numbers for each ordering; a key that fills several windows is spread over them by the ids."""
+        keys = self.curves.keys(vectors)
+        out = []
+        for c, edges in enumerate(self.edges):
+            low, high = (np.searchsorted(edges, keys[:, c], side=x) for x in ("left", "right"))
+            out.append(low + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) // np.uint64(1 << 32) % (high - low + 1).astype(np.uint64))
+        return np.stack(out, 1).astype(np.int64)
+
+    def share(self) -> float:
+        """Vectors that a query is compared with, as a part of all; above 1 where orderings repeat them."""
+        return min(1.0, (2 * self.reach + 1) / self.windows) * len(self.edges)
+
+
+def lay_out(index: DataFrame, queries: DataFrame, dims: int, k: int) -> Layout:
+    """The layout of ``index(id, v, h1)``, its reach calibrated on a sample of ``queries``."""
+    n = index.count()
+    curves = Curves(_sample(index, FIT_ROWS)[1])
+    windows = max(1, min(MAX_WINDOWS, n // WINDOW_ROWS))
+    found = Layout(curves, [np.empty(0, np.int64)] * CURVES, windows)
+    if windows == 1:
+        return found
+
+    def add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = curves.keys(matrix(b.column(0), dims))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, c])) for c in range(CURVES)], names=[f"k{c}" for c in range(CURVES)])
+
+    some = index.sample(False, EDGE_ROWS / n, SEED) if n > EDGE_ROWS else index
+    keys = some.select("v").mapInArrow(add_keys, ", ".join(f"k{c} long" for c in range(CURVES))).toArrow()
+    at = np.arange(1, windows) * keys.num_rows // windows
+    found.edges = [np.sort(keys.column(c).to_numpy())[at] for c in range(CURVES)]
+    sample_ids, sample = _sample(queries, CALIBRATION)
+    if len(sample_ids):
+        true = cut(brute_force(index, sample_ids, sample, k)).join(index.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "vec_id", "v").toArrow()
+        if true.num_rows:
+            where = dict(zip(sample_ids.tolist(), found.places(sample_ids, sample)))
+            own = np.stack([where[q] for q in true["query_id"].to_pylist()])
+            apart = np.sort(np.abs(own - found.places(true["vec_id"].to_numpy(), np.array(true["v"].to_pylist(), np.float64))).min(1))
+            found.reach = int(apart[min(len(apart) - 1, int(np.ceil(RECALL * len(apart))))])
+    return found
+
+
+def dealt(rows: DataFrame, layout: Layout, dims: int, is_query: bool) -> DataFrame:
+    """``(curve, range, window, asks, id, v)``: vectors of ``rows(id, v)`` in their windows' ranges, queries in all ranges within reach."""
+    kind = rows.schema["v"].dataType.simpleString()
+    names = ["curve", "range", "window", "asks", "id", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = layout.places(b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dims))
+            for c in range(CURVES):
+                own = at[:, c]
+                first = np.maximum(own - layout.reach, 0) // RANGE if is_query else own // RANGE
+                last = np.minimum(own + layout.reach, layout.windows - 1) // RANGE if is_query else first
+                for step in range(int((last - first).max()) + 1):
+                    rows_in = np.nonzero(first + step <= last)[0]
+                    take = pa.array(rows_in)
+                    arrays = [pa.array(np.full(len(rows_in), c, np.int32)), pa.array((first[rows_in] + step).astype(np.int32)), pa.array(own[rows_in].astype(np.int32)), pa.array(np.full(len(rows_in), is_query))]
+                    yield pa.RecordBatch.from_arrays([*arrays, b.column(0).take(take), b.column(1).take(take)], names=names)
+
+    return rows.select("id", "v").mapInArrow(run, f"curve int, range int, window int, asks boolean, id long, v {kind}")
+
+
 def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each query, ties to smaller ids.
 
@@ -154,7 +234,8 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
     length isn't the table's most common one take no part. Rows that share an
     id are one row, with the vector of the smallest hash. An empty table, or
     one without queries, gives an empty result; with fewer than ``k``
-    candidates all are returned.
+    candidates all are returned. Other columns of ``df`` don't matter, whatever
+    their names.
     """
     spark = df.sparkSession
     rows = _valid(df, id_col, vec_col)
@@ -167,62 +248,27 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
     same = Window.partitionBy("h1", "h2").orderBy("id")
     index = cut(rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"))
     queries = rows.where(is_query)
-    n = index.count()
-    curves = Curves(_sample(index, FIT_ROWS)[1])
-
-    def add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = curves.keys(matrix(b.column(0), dims))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, c])) for c in range(CURVES)], names=[f"k{c}" for c in range(CURVES)])
-
-    windows = max(1, min(MAX_WINDOWS, n // WINDOW_ROWS))
-    edges = [np.empty(0, np.int64)] * CURVES
-    if windows > 1:
-        shares = [j / windows for j in range(1, windows)]
-        ks = index.select("v").mapInArrow(add_keys, ", ".join(f"k{c} long" for c in range(CURVES)))
-        cutpoints = ks.agg(*(F.percentile_approx(f"k{c}", shares, 20 * windows).alias(f"k{c}") for c in range(CURVES))).first()
-        edges = [np.array(cutpoints[f"k{c}"], np.int64) for c in range(CURVES)]
-
-    def places(vectors: np.ndarray) -> np.ndarray:
-        keys = curves.keys(vectors)
-        return np.stack([np.searchsorted(edges[c], keys[:, c], side="left") for c in range(CURVES)], 1)
-
-    reach = 0
-    sample_ids, sample = _sample(queries, CALIBRATION)
-    if windows > 1 and len(sample_ids):
-        true = cut(brute_force(index, sample_ids, sample, k)).join(index.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").toArrow()
-        if true.num_rows:
-            where = dict(zip(sample_ids.tolist(), places(sample)))
-            own = np.stack([where[q] for q in true["query_id"].to_pylist()])
-            apart = np.sort(np.abs(own - places(np.array(true["v"].to_pylist(), np.float64))).min(1))
-            reach = int(apart[min(len(apart) - 1, int(np.ceil(RECALL * len(apart))))])
-
-    kind = rows.schema["v"].dataType.simpleString()
-    schema = f"part int, id long, v {kind}"
-
-    def deal(is_query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = places(matrix(b.column(1), dims))
-                for c in range(CURVES):
-                    for off in range(-reach, reach + 1) if is_query else (0,):
-                        to = at[:, c] + off
-                        inside = np.nonzero((to >= 0) & (to < windows))[0]
-                        if len(inside):
-                            take = pa.array(inside)
-                            yield pa.RecordBatch.from_arrays([pa.array((to[inside] * CURVES + c).astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["part", "id", "v"])
-
-        return run
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = lambda t: matrix(t["v"].combine_chunks(), dims)
-        if not left.num_rows or not right.num_rows:
+    layout = lay_out(index, queries, dims, k)
+    reach = layout.reach
+
+    def match(part: pa.Table) -> pa.Table:
+        asks, window = part["asks"].to_numpy(), part["window"].to_numpy()
+        ids, vectors = part["id"].to_numpy(), matrix(part["v"].combine_chunks(), dims)
+        here, asked = np.nonzero(~asks)[0], np.nonzero(asks)[0]
+        found: list[pa.RecordBatch] = []
+        for w in np.unique(window[here]) if len(asked) else []:
+            near, mine = here[window[here] == w], asked[np.abs(window[asked] - w) <= reach]
+            found.append(_batch(nearest(ids[near], vectors[near], ids[mine], vectors[mine], k)))
+        if not found:
             return pa.Table.from_batches([_batch(([], [], []))])
-        return pa.Table.from_batches([_batch(nearest(left["id"].to_numpy(), flat(left), right["id"].to_numpy(), flat(right), k))])
-
-    here = index.select("id", "v").mapInArrow(deal(False), schema).groupBy("part")
-    asked = queries.select("id", "v").mapInArrow(deal(True), schema).groupBy("part")
-    found = here.cogroup(asked).applyInArrow(match, FOUND)
+        met = pa.Table.from_batches(found).sort_by([("query_id", "ascending"), ("score", "ascending"), ("vec_id", "ascending")])
+        own = met["query_id"].to_numpy()
+        first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.empty(0, bool)
+        place = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+        return met.filter(pa.array(place < k))
+
+    ranges = dealt(index, layout, dims, False).union(dealt(queries, layout, dims, True))
+    found = ranges.repartitionByRange("curve", "range").groupBy("curve", "range").applyInArrow(match, FOUND)
     return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
