@@ -145,18 +145,23 @@ def mix(df: DataFrame, weights: Sequence[float], max_repeats: float = 3, id_col:
 
 
 def taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``(id, src, size, taken, first_slot, slots)`` of each row.
+    """``(id, src, size, taken, first_slot)``: the words of each row in the mix, repeats counted, and the first slot that takes one, or null."""
+    some = pieces.groupBy("src", "start", "id", "size").agg(F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"))
+    none = documents.where("size = 0").select("id", "src", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return some.select(*none.columns).unionByName(none)
+
 
-    ``taken``: its words in the mix, repeats counted; ``first_slot``: the first
-    slot that takes a word of it, null if none does; ``slots``: in order, those
-    that take its beginning, one for each repeat.
+def places(pieces: DataFrame) -> DataFrame:
+    """``(id, copies, slots)`` of each id with words: how often the mix takes it, to the nearest whole number, and a slot for each time.
+
+    The slots are those that take its beginning, in order; where these are fewer, the last or else the first slot that takes any of it repeats.
     """
-    some = pieces.groupBy("src", "start", "id", "size").agg(
-        F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"), F.array_sort(F.collect_list(F.when((F.col("words") > 0) & (F.col("first") == 0), F.col("slot")))).alias("slots")
-    )
-    nothing = [F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.array().cast("array<long>").alias("slots")]
-    none = documents.where("size = 0").select("id", "src", "size", *nothing)
-    return some.select(*none.columns).unionByName(none)
+    begins = F.when((F.col("words") > 0) & (F.col("first") == 0), F.col("slot"))
+    rows = pieces.groupBy("id", "start").agg(F.sum("words").alias("words"), F.max("size").alias("size"), F.collect_list(begins).alias("slots"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("any"))
+    often = F.round(F.sum("words") / F.max("size")).cast("int")
+    found = rows.groupBy("id").agg(often.alias("copies"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("slots"), F.min("any").alias("any"))
+    slot = lambda k: F.coalesce(F.get("slots", k - 1), F.try_element_at("slots", F.lit(-1)), F.col("any"))
+    return found.where("copies > 0").select("id", "copies", F.transform(F.sequence(F.lit(1), "copies"), slot).alias("slots"))
 
 
 #: The weights of the contract: they repeat over the sources.
