@@ -83,16 +83,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     document lies where the schedule takes its beginning.
     """
     ship(spark)
-    one, two, key, name, copies, copy, slots, place = fresh(docs.columns, "k1__", "k2__", "key__", "id__", "copies__", "copy__", "slots__", "place__")
+    one, two, key, name, slots, copy, place = fresh(docs.columns, "k1__", "k2__", "key__", "id__", "slots__", "copy__", "place__")
     keyed = _keyed(docs, one, two).withColumn(key, F.concat(F.hex(one), F.lit("-"), F.hex(two)))
-    documents, _, pieces = mixing.mix(keyed, mixing.WEIGHTS, 3, key, SOURCE, TEXT)
-    often = F.round(F.sum("taken") / F.greatest(F.max("size"), F.lit(1))).cast("int")
-    taken = mixing.taken(documents, pieces).groupBy(F.col("id").alias(name)).agg(often.alias(copies), F.array_sort(F.flatten(F.collect_list("slots"))).alias(slots), F.min("first_slot").alias(place))
-    found = keyed.join(taken.where(F.col(copies) > 0), F.col(key) == F.col(name))
+    pieces = mixing.mix(keyed, mixing.WEIGHTS, 3, key, SOURCE, TEXT)[2]
+    found = keyed.join(mixing.places(pieces).select(F.col("id").alias(name), F.col("slots").alias(slots)), F.col(key) == F.col(name))
     n = F.row_number().over(Window.partitionBy(key).orderBy(name))
-    found = found.withColumn(copy, n).where(F.col(copy) == 1).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
-    at = F.coalesce(F.get(F.col(slots), F.col(copy) - 1), F.try_element_at(F.col(slots), F.lit(-1)), F.col(place))
-    found = found.withColumn(place, at)
+    found = found.withColumn(copy, n).where(F.col(copy) == 1).select(*docs.columns, key, F.posexplode(slots).alias(copy, place))
     return _as_documents(found.repartitionByRange(place, key, copy).sortWithinPartitions(place, key, copy), docs)
 
 
