@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Texts are worked on in slices of about this many bytes, so that a batch of long texts stays small.
 SLICE_BYTES = 16 << 20
+#: Spark's setting for removing a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
@@ -32,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; its shuffle files go, as nothing needs them any more.
 
     The folder is the cluster's ``spark.checkpoint.dir``. Only a session on one
     machine (``local[..]``), as in tests, may do without and gets a temporary folder.
@@ -43,11 +45,26 @@ def cut(df: DataFrame) -> DataFrame:
         if not shared and not sc.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a worker that waits for its next task counts as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut further where the text in ``column`` is long."""
+    """The batches, cut further where the text in ``column`` is long; freed memory goes back to the system after the last."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -55,15 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
         rows = max(1, int(n * size / max(batch.column(column).nbytes, 1)))
         for start in range(0, n, rows):
             yield batch.slice(start, rows)
-
-
-def give_back() -> None:
-    """Return freed memory to the system, as a worker that waits for its next task counts as long as it lives."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

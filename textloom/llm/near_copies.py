@@ -50,7 +50,7 @@ MAX_DISTANCE, SEGMENTS = 3, 2
 #: Texts in the sample for the order, texts of it that make a shingle frequent, and frequent shingles sent out at most.
 SAMPLE, OFTEN, FREQUENT = 8_000, 3, 100_000
 #: Shingles in the sets that are broadcast at most; sets of more are joined.
-BROADCAST_SHINGLES = 4_000_000
+BROADCAST_SHINGLES = 1_000_000
 #: Names of nodes that are broadcast at most; more are joined.
 BROADCAST_NODES = 500_000
 #: Nodes of an element from which they are paired with one of them first.
@@ -140,8 +140,40 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``(node, items)``: the complete sets of the nodes in ``pairs(a, b)``, a row a node, from ``texts(text__)``."""
+def _named(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """``(node, n, *columns)`` of the nodes in ``pairs(a, b)``, a row a node, materialised."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if ends.count() <= BROADCAST_NODES:
+        ends = F.broadcast(ends)
+    return cut(nodes.join(ends, "node", "left_semi").select("node", "n", *columns).dropDuplicates(["node"]))
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, small: bool) -> DataFrame:
+    """``pairs`` with the ``items`` of both ends."""
+    one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
+    return pairs.join(F.broadcast(one) if small else one, "a").join(F.broadcast(two) if small else two, "b")
+
+
+def _small(sizes: DataFrame, size: Column) -> bool:
+    return (sizes.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_SHINGLES
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose prefixes share enough elements.
+
+    Shared elements outside the two prefixes lie beyond the prefix of the one that ends first, so there are less than
+    ``s`` times the larger size of them.
+    """
+    some = _named(pairs, nodes, "prefix")
+    sets = some.select("node", F.struct("n", "prefix").alias("items"))
+    found = _beside(pairs, sets, _small(some, F.size("prefix")))
+    na, nb = F.col("sa.n"), F.col("sb.n")
+    shared = F.size(F.array_intersect("sa.prefix", "sb.prefix")) + F.ceil(F.lit(similarity) * F.greatest(na, nb) - F.lit(TINY)) - 1
+    return found.where(shared + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * (na + nb)).select("a", "b")
+
+
+def complete_sets(some: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(node, items)``: the complete sets of ``some(node, t1, t2)``, a row a node, from ``texts(text__)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -153,29 +185,30 @@ def sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) ->
                     found[node] = shingle_set(x, words)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], names=["node", "items"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    need = cut(nodes.join(ends, "node", "left_semi").select("node", F.col("t1").alias("w1"), F.col("t2").alias("w2")))
+    need = some.select("node", F.col("t1").alias("w1"), F.col("t2").alias("w2"))
     if need.count() <= BROADCAST_NODES:
         need = F.broadcast(need)
     keyed = texts.select("text__", *_text_key(F.col("text__")))
     wanted = keyed.join(need, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("node", "text__")
-    return cut(wanted.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"]))
+    return wanted.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose complete sets have at least the similarity."""
-    pairs = cut(pairs)
-    sets = sets_of(pairs, nodes, texts, words)
-    one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
-    if (sets.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_SHINGLES:
-        one, two = F.broadcast(one), F.broadcast(two)
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return found.where(F.col("shared") + F.lit(TINY) >= F.lit(similarity) * (F.col("both") - F.col("shared"))).select("a", "b")
+    """The ``pairs(a, b)`` of nodes whose complete sets have at least the similarity, materialised."""
+    pairs = cut(plausible(cut(pairs), nodes, similarity))
+    some = _named(pairs, nodes, "t1", "t2")
+    found = _beside(pairs, complete_sets(some, texts, words), _small(some, F.col("n")))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return cut(found.where(shared + F.lit(TINY) >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
 
-def _allowed(similarity: float, na: str, nb: str, ra: str, rb: str) -> Column:
+def _allowed(similarity: float, na: Column, nb: Column, ra: Column, rb: Column) -> Column:
     """Whether sets of sizes ``na`` and ``nb`` that have ``ra`` and ``rb`` elements from their first common one on can be similar."""
-    return F.least(ra, rb) + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * (F.col(na) + F.col(nb))
+    return F.least(ra, rb) + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * (na + nb)
+
+
+def _size_and_rest(packed: str) -> tuple[Column, Column]:
+    return F.shiftright(packed, 32), F.col(packed).bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -184,8 +217,9 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def near_fingerprints(nodes: DataFrame) -> DataFrame:
     """Candidate pairs of nodes by their fingerprints: each node with the first of its fingerprint, and those of near ones."""
-    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
-    equal = nodes.join(firsts, "fp").where("node <> rep").select(*_ordered("node", "rep"))
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("last")))
+    several = firsts.where("rep <> last").select("fp", "rep")
+    equal = nodes.select("fp", "node").join(several, "fp").where("node <> rep").select(*_ordered("node", "rep"))
     near = simhash.links(firsts.select("fp"), MAX_DISTANCE, SEGMENTS)
     one, two = (firsts.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
     return equal.union(near.join(one, "a").join(two, "b").select(*_ordered("ra", "rb")))
@@ -194,26 +228,37 @@ def near_fingerprints(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` that join all similar ``nodes(node, t1, t2, n, fp, prefix)`` and no others.
 
-    Inside a group that links already join, further links are not listed.
+    A node may have several rows, which differ in no more than the text they name. Inside a group that links already
+    join, further links are not listed.
     """
-    # r: the element and all after it. One exchange serves both the counts and the join with them.
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("r"))
+    # nr: a node's size, and how many elements it has from this one on. One exchange serves both the counts and the join with them.
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", F.expr("shiftleft(n, 32) | (n - pos)").alias("nr"))
     entries = entries.repartition("key")
-    ends = entries.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("pos"), "node", "n")).alias("h"), F.count("*").alias("many")).where("many > 1")
-    live = cut(entries.join(ends, "key").select("key", "node", "n", "r", "many", F.col("h.node").alias("hub"), F.col("h.n").alias("hn"), (F.col("h.n") - F.col("h.pos")).alias("hr")))
-
-    stars = live.where(F.col("many") >= CROWD).where("node <> hub").where(_allowed(similarity, "n", "hn", "r", "hr")).select(*_ordered("node", "hub"))
+    n, r = _size_and_rest("nr")
+    hub = F.min(F.struct((n - r).alias("pos"), "node", "nr")).alias("h")
+    ends = entries.groupBy("key").agg(hub, F.count("*").alias("many"), F.min("node").alias("first"), F.max("node").alias("last"), F.min(n).alias("least"), F.max(r).alias("most"))
+    # The best partner that this element could have is as small as the smallest and has its elements as late as the latest.
+    partner = F.lit(similarity / (1 + similarity)) * (n + F.greatest(F.col("least"), F.lit(similarity) * n))
+    met_by = (F.col("first") != F.col("last")) & (F.least(r, "most") + F.lit(TINY) >= partner)
+    crowded = lambda c: F.when(F.col("many") >= CROWD, F.col(c))
+    live = cut(entries.join(ends, "key").where(met_by).select("key", "node", "nr", crowded("h.node").alias("hub"), crowded("h.nr").alias("hub_nr")))
+
+    (na, ra), (nb, rb) = _size_and_rest("nr"), _size_and_rest("hub_nr")
+    stars = live.where("node <> hub").where(_allowed(similarity, na, nb, ra, rb)).select(*_ordered("node", "hub"))
     first = cut(connected_components(verified(near_fingerprints(nodes).union(stars).distinct(), nodes, texts, words, similarity)).withColumnRenamed("node", "node__"))
 
-    members = cut(live.join(first, F.col("node") == F.col("node__"), "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "r"))
+    few = first.count() <= BROADCAST_NODES
+    members = live.join(F.broadcast(first) if few else first, F.col("node") == F.col("node__"), "left").select("key", F.coalesce("root", "node").alias("root"), "node", n.alias("n"), r.alias("r"))
+    members = members if few else cut(members)
     groups = members.groupBy("key", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("n"), F.max("r").alias("r"))
-    one, two = (groups.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("root", "lo", "hi", "n", "r"))) for x in "ab")
-    met = cut(one.join(two, (one["key"] == two["key"]) & (F.col("roota") < F.col("rootb")) & _allowed(similarity, "na", "nb", "ra", "rb")).drop(two["key"]))
+    one, two = (groups.select("key", F.col("root").alias(f"root{x}"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias(y), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}")) for x, y in ("ax", "by"))
+    met = one.join(two, (one["key"] == two["key"]) & (F.col("roota") < F.col("rootb")) & _allowed(similarity, *map(F.col, ("na", "nb", "ra", "rb"))))
+    met = cut(met.select(one["key"], "roota", "rootb", "x", "y"))
 
-    alone = (F.col("loa") == F.col("hia")) & (F.col("lob") == F.col("hib"))
-    single = met.where(alone).select(F.col("loa").alias("x"), F.col("lob").alias("y"))
+    alone = F.col("x").isNotNull() & F.col("y").isNotNull()
+    single = met.where(alone).select("x", "y")
     left, right = (members.select("key", F.col("root").alias(f"root{x}"), F.col("node").alias(y), F.col("n").alias(f"n{y}"), F.col("r").alias(f"r{y}")) for x, y in ("ax", "by"))
-    crowd = met.where(~alone).select("key", "roota", "rootb").join(left, ["key", "roota"]).join(right, ["key", "rootb"]).where(_allowed(similarity, "nx", "ny", "rx", "ry"))
+    crowd = met.where(~alone).select("key", "roota", "rootb").join(left, ["key", "roota"]).join(right, ["key", "rootb"]).where(_allowed(similarity, *map(F.col, ("nx", "ny", "rx", "ry"))))
     rest = verified(single.union(crowd.select("x", "y")).select(*_ordered("x", "y")).distinct(), nodes, texts, words, similarity)
     return first.where("node__ <> root").select(F.col("node__").alias("a"), F.col("root").alias("b")).union(rest)
 
@@ -232,14 +277,17 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     rows = df.select(F.col(id_col).alias("id"), *(F.col(c).alias(k) for c, k in zip(carry, kept)), F.coalesce(F.col(text_col), F.lit("")).alias("text__"))
     rows = rows.select("*", *_text_key(F.col("text__")))
     own = cut(described(rows, words, similarity, "text__"))
-    distinct = own.where(F.col("prefix").isNotNull()).dropDuplicates(["s1", "s2"])
-    # Numbers, not hashes, name the nodes from here on: no two sets share one.
-    nodes = cut(distinct.select("s1", "s2", F.monotonically_increasing_id().alias("node"), "t1", "t2", "n", "fp", "prefix"))
-    found = connected_components(links(nodes.drop("s1", "s2"), rows.select("text__"), words, similarity)).withColumnRenamed("node", "node__")
-    labels = nodes.join(found, F.col("node") == F.col("node__"), "left").select("s1", "s2", F.coalesce("root", "node").alias("group"))
-    reps = own.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    labels = labels.join(reps, ["s1", "s2"])
-    least = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(least, "group").select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), "group", "component_id")
-    joined = own.join(labels, (F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")))
+    # A set's first half names it, unless another set has the same: then the second half joins in.
+    clash = cut(own.groupBy("s1").agg(F.min("s2").alias("first2"), F.max("s2").alias("last2")).where("first2 <> last2").select(F.col("s1").alias("s1__"), "first2"))
+    if clash.count():
+        other = F.col("first2").isNotNull() & (F.col("s2") != F.col("first2"))
+        own = own.join(clash, F.col("s1") == F.col("s1__"), "left").withColumn("node", F.when(other, F.xxhash64("s2", "s1")).otherwise(F.col("s1")))
+    else:
+        own = own.withColumn("node", F.col("s1"))
+    nodes = own.where(F.col("prefix").isNotNull()).select("node", "t1", "t2", "n", "fp", "prefix")
+    found = cut(connected_components(links(nodes, rows.select("text__"), words, similarity)).withColumnRenamed("node", "node__"))
+    own = own.select("id", *kept, "node")
+    own = own.join(F.broadcast(found) if found.count() <= BROADCAST_NODES else found, F.col("node") == F.col("node__"), "left").withColumn("group", F.coalesce("root", "node"))
+    least = own.groupBy("group").agg(F.min("id").alias("component_id")).withColumnRenamed("group", "group__")
+    joined = own.join(least, F.col("group") == F.col("group__"))
     return joined.select("id", *(F.col(k).alias(c) for c, k in zip(carry, kept)), "group", "component_id")
