@@ -291,23 +291,28 @@ def _shipped(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(Vocabulary.parse(f.read()))
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``df`` with the ids of ``text_col`` in ``ids_col`` (array<int>); a column of that name is replaced.
 
-    Null and empty texts have no ids; repeated rows are encoded alike; an empty table gives an empty result.
+    With ``decoded_col``, also the text that the ids decode to, by the same worker. Null and empty texts have no ids;
+    repeated rows are encoded alike; an empty table gives an empty result.
     """
-    df = df.drop(ids_col) if ids_col != text_col else df
-    shipped, at = _shipped(df.sparkSession, path), df.columns.index(text_col)
-    out = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    df = df.drop(*{ids_col, decoded_col} - {text_col, None})
+    words, at = _shipped(df.sparkSession, path), df.columns.index(text_col)
+    more = [T.StructField(decoded_col, T.StringType())] if decoded_col else []
+    out = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _released(ByteBPE, shipped.value) as codec:
+        back = Decoder(words.value)
+        with _released(ByteBPE, words.value) as codec:
             for batch in slices(batches, at, STEP):
                 found = codec.encode_many(batch.column(at).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))]
+                if decoded_col:
+                    columns.append(pa.array([back.decode(np.frombuffer(x, "<i4").tolist()) for x in found], pa.string()))
                 del found
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=out.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=out.names)
 
     return df.mapInArrow(run, out)
 
@@ -319,11 +324,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     table gives an empty result.
     """
     df = df.drop(text_col)
-    shipped, at = _shipped(df.sparkSession, path), df.columns.index(ids_col)
+    words, at = _shipped(df.sparkSession, path), df.columns.index(ids_col)
     out = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _released(Decoder, shipped.value) as codec:
+        with _released(Decoder, words.value) as codec:
             for batch in slices(batches, at, STEP):
                 texts = pa.array([codec.decode(x) if x else "" for x in batch.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=out.names)
@@ -339,9 +344,8 @@ def default_path() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    back = decode(coded, path)
-    return back.select(
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
