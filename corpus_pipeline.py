@@ -95,10 +95,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text; a null text has none and decodes to an empty one."""
     ship(spark)
-    path = bpe.default_path()
-    coded = bpe.encode(docs.select(ID, SOURCE, TEXT), path, TEXT, "ids")
-    back = bpe.decode(coded, path, "ids", "decoded")
-    return back.select(ID, SOURCE, F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce(F.col(TEXT), F.lit(""))).alias("round_trip"))
+    coded = bpe.encode(docs.select(ID, SOURCE, TEXT), bpe.default_path(), TEXT, "ids", "decoded")
+    return coded.select(ID, SOURCE, F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce(F.col(TEXT), F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
