@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the white space that the application's regular expressions and trim() know.
 JSWS = r"\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same characters, one by one.
+WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Fixed value: the Chinese characters that count as one token each.
 CJK = r"[\u4e00-\u9fa5]"
 SENTENCE = r"[^。！？；\r\n]+[。！？；]?"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import JSWS, SENTENCE, clean, trim_ws
+from textloom.functions.text import JSWS, SENTENCE, WS_CHARS, clean, trim_ws
 
 #: Characters and stride of a window; least length of a sentence that is compared.
 WINDOW, STRIDE, LEAST = 20, 10, 8
@@ -60,6 +62,28 @@ def chunks(text: Column, limit: int = 380) -> Column:
     return F.filter(F.transform(packed, trim_ws), lambda c: c != "")
 
 
+_PIECES = re.compile("[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+")
+
+
+def chunk_list(text: str | None, limit: int = 380) -> list[str]:
+    """As ``chunks``, for one text; linear in its length."""
+    packed, size = [[]], 0
+    for piece in _PIECES.findall(text or ""):
+        if size and size + len(piece) > limit:
+            packed.append([])
+            size = 0
+        packed[-1].append(piece)
+        size += len(piece)
+    return [c for c in ("".join(x).strip(WS_CHARS) for x in packed) if c]
+
+
+def chunk_rows(df: DataFrame, keep: list[str], text_col: str = "text", limit: int = 380) -> DataFrame:
+    """``(*keep, chunk_idx, chunk)``. The column ``chunks`` copies its list for every chunk, which long texts feel; this doesn't."""
+    from textloom.operators.similarity import flat_map
+
+    return flat_map(df, [text_col], keep, "chunk_idx int, chunk string", lambda t: list(enumerate(chunk_list(t, limit))))
+
+
 def clauses(sentence: Column) -> Column:
     return F.split(sentence, "，", -1)
 
@@ -78,6 +102,11 @@ def refine_paragraphs(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 
+def export_paragraphs(text: Column) -> Column:
+    """Paragraphs for a file: lines, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n+", -1), trim_ws), lambda p: p != "")
+
+
 def systematic_sample(df: DataFrame, n: Column, pos: str, most: int = 1500) -> DataFrame:
     """Every k-th row, k the least number that leaves ``most`` of ``n`` rows; all rows up to ``most``."""
     return df.where(F.col(pos) % F.greatest(F.ceil(n / most), F.lit(1)) == 0)

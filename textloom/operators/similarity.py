@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,6 +26,10 @@ _WS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "
 _SPACES = re.compile(f"[{_WS}]+")
 
 
+#: Bytes of input that a worker turns into Python values at a time, about.
+SLICE = 4 << 20
+
+
 def sentences_of(text: str) -> list[str]:
     return _SENTENCE.findall(text)
 
@@ -69,14 +74,74 @@ class BigramIndex:
         return {k for g in rare for k in self.holders.get(g, ()) if low <= len(self.sets[k]) <= high}
 
 
+def _window_bigrams(text: str) -> np.ndarray:
+    """A row for each window of a text of at least ``WINDOW`` characters: its bigrams, as numbers."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    pairs = chars[:-1] << 21 | chars[1:]
+    n = len(chars)
+    starts = np.arange(0, n - WINDOW + 1, STRIDE)
+    if text[starts[-1] : starts[-1] + WINDOW] != text[n - WINDOW :]:
+        starts = np.append(starts, n - WINDOW)
+    return pairs[starts[:, None] + np.arange(WINDOW - 1)]
+
+
+def _sets(ranks: np.ndarray, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct numbers in order, then ``fill``; and how many there are."""
+    ranks = np.sort(ranks, 1)
+    again = np.zeros(ranks.shape, bool)
+    again[:, 1:] = ranks[:, 1:] == ranks[:, :-1]
+    last = np.iinfo(ranks.dtype).max
+    ranks = np.sort(np.where(again, last, ranks), 1)
+    return np.where(ranks == last, fill, ranks), ranks.shape[1] - again.sum(1)
+
+
+def _repeated_windows(a: str, b: str, least: float) -> np.ndarray:
+    """For each window of ``b`` whether a window of ``a`` is that similar; both texts have at least ``WINDOW`` characters.
+
+    Windows meet under the rarest bigrams of either, of which similar ones share one, and are then compared whole.
+    """
+    one, two = _window_bigrams(a), _window_bigrams(b)
+    _, number, count = np.unique(np.concatenate([one.ravel(), two.ravel()]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
+    number = rank[number]
+    (one, size_a), (two, size_b) = _sets(number[: one.size].reshape(one.shape), -1), _sets(number[one.size :].reshape(two.shape), -2)
+    place = np.arange(one.shape[1])[None, :]
+    enter = lambda sizes: np.nonzero(place < (sizes - np.ceil(least * sizes - 1e-9).astype(int) + 1)[:, None])
+    (row_a, col_a), (row_b, col_b) = enter(size_a), enter(size_b)
+    keys = one[row_a, col_a]
+    order = np.argsort(keys, kind="stable")
+    keys, row_a = keys[order], row_a[order]
+    asked = two[row_b, col_b]
+    first, end = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+    found = np.zeros(len(two), bool)
+    upto = np.cumsum(end - first)
+    start = 0
+    while start < len(asked):  # some 100,000 comparisons at a time
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 100_000)))
+        many = end[start:stop] - first[start:stop]
+        y = np.repeat(row_b[start:stop], many)
+        x = row_a[np.repeat(first[start:stop], many) + np.arange(len(y)) - np.repeat(np.cumsum(many) - many, many)]
+        new = ~found[y] & (np.minimum(size_a[x], size_b[y]) >= least * np.maximum(size_a[x], size_b[y]) - 1e-9)
+        x, y = x[new], y[new]
+        both = sum((one[x] == two[y, k][:, None]).any(1).astype(np.int32) for k in range(two.shape[1])) if len(x) else np.empty(0)
+        found[y[both / (size_a[x] + size_b[y] - both) >= least]] = True
+        start = stop
+    return found
+
+
 def overlap(original: str | None, rewritten: str | None, least: float = 0.8) -> tuple[float, int, int] | None:
     """(rate, repeated windows, windows) of the rewritten text; None where either has no visible character."""
     a, b = (_SPACES.sub("", x or "") for x in (original, rewritten))
     if not a or not b:
         return None
-    index, count = BigramIndex([*{bigram_set(w) for w in windows_of(a)}]), Counter(map(bigram_set, windows_of(b)))
-    repeated = sum(n for s, n in count.items() if any(similarity(s, index.sets[k]) >= least for k in index.candidates(s, least)))
-    total = sum(count.values())
+    if min(len(a), len(b)) >= WINDOW:
+        found = _repeated_windows(a, b, least)
+        repeated, total = int(found.sum()), len(found)
+    else:
+        index, count = BigramIndex([*{bigram_set(w) for w in windows_of(a)}]), Counter(map(bigram_set, windows_of(b)))
+        repeated = sum(n for s, n in count.items() if any(similarity(s, index.sets[k]) >= least for k in index.candidates(s, least)))
+        total = sum(count.values())
     return repeated / total, repeated, total
 
 
@@ -115,16 +180,18 @@ def matched_sentences(original: str | None, rewritten: str | None, least: float
     own = checked_sentences(original or "")
     if len(own) > max_original:
         own = own[:: math.ceil(len(own) / max_original)]
-    sets, out = [bigram_set(s) for s in own], []
+    least = least or 0.5
+    index, out = BigramIndex([bigram_set(s) for s in own]), []
     for i, s in enumerate(checked_sentences(rewritten or "")):
-        mine, best, at = bigram_set(s), 0.0, -1
-        for k, o in enumerate(sets):
-            if min(len(o), len(mine)) > best * max(len(o), len(mine)) and (v := similarity(mine, o)) > best:
-                best, at = v, k
-                if best >= enough:
-                    break
-        if best >= (least or 0.5):
-            out.append((i, best, s, own[at] if at >= 0 else ""))
+        mine = bigram_set(s)
+        scores = [(similarity(mine, index.sets[k]), -k) for k in index.candidates(mine, least)]
+        near = [-k for v, k in scores if v >= enough]
+        if near:
+            k = min(near)
+            out.append((i, similarity(mine, index.sets[k]), s, own[k]))
+        elif scores and max(scores)[0] >= least:
+            best, k = max(scores)
+            out.append((i, best, s, own[-k]))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
@@ -137,8 +204,13 @@ def flat_map(df: DataFrame, inputs: list[str], keep: list[str], schema: str, fun
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
     n = len(keep)
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch, cut where its inputs are long."""
+        size = max(1, int(batch.num_rows * SLICE / max(1, sum(c.nbytes for c in batch.columns[n:]))))
+        return (batch.slice(k, size) for k in range(0, batch.num_rows, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole)):
             rows, found = [], []
             for row, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[n:]))):
                 got = function(*values)
