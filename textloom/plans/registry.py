@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import lint, mask, refine, segment, similarity
+from textloom.operators import lint, mask, refine, rewrite, segment, similarity
+from textloom.plans import fixtures
 from textloom.sources import documents as src
 
 #: White space of the tables' texts, in RE2's terms, and the sentence pattern.
@@ -41,8 +42,29 @@ def windows(spark, d):
 
 
 def chunks(spark, d):
-    rows = _table(spark, d, "documents").select("doc_id", "text")
-    return segment.explode_rows(rows, segment.chunks(F.col("text")), "chunk_idx", "chunk").select("doc_id", "chunk_idx", "chunk")
+    found = segment.chunk_rows(_table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "chunk")
+
+
+def document_windows(spark, d):
+    found = segment.window_rows(_table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("win_idx").cast("long").alias("win_idx"), "window")
+
+
+#: Words that the invented texts hold, as a dictionary's keys.
+DICTIONARY = ("the", "then", "der", "die", "und", "les", "le", "que", "tion")
+
+
+def dictionary_hits(spark, d):
+    return rewrite.dictionary_hits(_table(spark, d, "documents"), ["doc_id"], DICTIONARY)
+
+
+def document_totals(spark, d):
+    """The document loop over the lines of each document, with the words of a small dictionary."""
+    rows = segment.sentence_rows(_table(spark, d, "documents").select("doc_id", "text")).withColumnRenamed("sent_idx", "para_idx").withColumnRenamed("sentence", "paragraph")
+    tables = rewrite.Dictionaries(synonyms={w: [w.upper()] for w in DICTIONARY})
+    found = rewrite.rewrite_documents(rows, ["doc_id"], tables, rewrite.Options(seed=1, strength="ultra"), 5)
+    return found.select("doc_id", "reached", F.col("change_count").cast("long").alias("change_count"), F.size("changes").cast("long").alias("listed"))
 
 
 def paragraphs(spark, d):
@@ -58,7 +80,8 @@ def overlap_rate(spark, d):
     """Each document against the next one."""
     docs = _table(spark, d, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
-    return similarity.overlap_rate(docs.join(after, "doc_id"), ["doc_id"], "text", "next")
+    found = similarity.overlap_rate(docs.join(after, "doc_id"), ["doc_id"], "text", "next")
+    return found.select("doc_id", F.round("rate", 9).alias("rate"), F.col("dup_windows").cast("long").alias("dup_windows"), F.col("total_windows").cast("long").alias("total_windows"))
 
 
 def _turn_pairs(spark, d):
@@ -126,7 +149,7 @@ def search_urls(spark, d):
     return _table(spark, d, "nation").select("n_nationkey", F.explode(tx.search_urls(F.col("n_name"))).alias("u")).select("n_nationkey", "u.name", "u.url")
 
 
-QUERIES = {f.__name__: f for f in (sentences, check_sentences, text_stats, token_estimate, windows, chunks, paragraphs, self_duplicates, overlap_rate, sentence_top1, refine_budget, sampled_sentences, mask_spans, mask_round_trip, html_text, html_paragraphs, lint_issues, issues_by_type, compare_positions, file_types, search_urls)}
+QUERIES = {f.__name__: f for f in (sentences, check_sentences, text_stats, token_estimate, windows, chunks, paragraphs, self_duplicates, overlap_rate, sentence_top1, refine_budget, sampled_sentences, mask_spans, mask_round_trip, html_text, html_paragraphs, lint_issues, issues_by_type, compare_positions, file_types, search_urls, document_windows, dictionary_hits, document_totals)} | fixtures.QUERIES
 
 _ROWS = f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_idx, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)"
 _CHECKED = f"""
@@ -147,6 +170,22 @@ def _split(table: str, column: str, out: str) -> str:
     return f"SELECT conv_id, turn, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS s FROM (SELECT conv_id, turn, {split} AS s FROM {table})"
 
 
+# Written apart from the operator's pattern, in RE2's terms.
+_BLANK = WS[1:-1]
+_SPAN = (
+    r"\$\$[\s\S]+?\$\$|\$[^$\n]+?\$|\\\[[\s\S]+?\\\]"
+    + "|" + rf"\[[0-9,\-{_BLANK}]+\]|（[0-9,\-{_BLANK}]+）|\([0-9,\-{_BLANK}]+\)"
+    + "|" + rf"(?:表|图|公式)[{_BLANK}]*[0-9一二三四五六七八九十]+(?:\([0-9]+\))?"
+    + "|" + r"[A-Za-z][A-Za-z0-9._\-]+"
+    + "|" + r"[0-9]+(?:\.[0-9]+)?%?(?:℃|°|元|万元|亿元|万|亿|km|cm|mm|kg|g|t|吨|人|次|年|月|日|小时|分钟|秒|个|种|项|倍|dB|Hz|kWh|度|平方米|平方公里|m|s|h|d)?"
+)
+
+
+def _tokens(text: str) -> str:
+    return f"cast(floor(len(regexp_extract_all({text}, '[一-龥]')) + length(regexp_replace(regexp_replace({text}, '[一-龥]', '', 'g'), '{WS}+', '', 'g')) / 4.0::DOUBLE + 0.5) AS BIGINT)"
+
+
+
 ORACLES = {
     "sentences": _ROWS,
     "check_sentences": _CHECKED,
@@ -175,9 +214,54 @@ og AS (SELECT *, {_GRAMS.format('s')} AS g FROM o), wg AS (SELECT *, {_GRAMS.for
 p AS (SELECT wg.conv_id, wg.turn, wg.k AS sent_idx, og.k AS ok, og.s AS orig, {_SIM.format('wg.g', 'og.g')} AS sim FROM wg JOIN og USING (conv_id, turn)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, sent_idx ORDER BY sim >= 0.98 DESC, CASE WHEN sim >= 0.98 THEN 0 ELSE -sim END, ok) AS r FROM p)
 SELECT conv_id, turn, sent_idx, round(sim, 9) AS sim, orig FROM r WHERE r = 1 AND sim >= 0.1""",
+    "refine_budget": f"""
+WITH t0 AS ({_TURNS}), t AS (SELECT * FROM t0 WHERE asked <> text), o AS ({_split('t', 'asked', 'o')}), w AS ({_split('t', 'text', 'w')}),
+og AS (SELECT *, {_GRAMS.format('s')} AS g FROM o), wg AS (SELECT *, {_GRAMS.format('s')} AS g FROM w),
+p AS (SELECT wg.conv_id, wg.turn, wg.k AS sent_idx, wg.s AS sentence, og.k AS ok, og.s AS orig, {_SIM.format('wg.g', 'og.g')} AS sim FROM wg JOIN og USING (conv_id, turn)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, sent_idx ORDER BY sim >= 0.98 DESC, CASE WHEN sim >= 0.98 THEN 0 ELSE -sim END, ok) AS r FROM p),
+k AS (SELECT conv_id, turn, sum(length(sentence) + length(orig)) AS chars, sum({_tokens('sentence')} + {_tokens('orig')}) AS tokens FROM r WHERE r = 1 AND sim >= 0.1 GROUP BY conv_id, turn),
+v AS (SELECT t0.conv_id || '-' || t0.turn AS pair, coalesce(chars, 0)::BIGINT AS task_chars, coalesce(tokens, 0)::BIGINT AS task_tokens, {_tokens('t0.text')} AS full_tokens FROM t0 LEFT JOIN k ON k.conv_id = t0.conv_id AND k.turn = t0.turn)
+SELECT *, cast(CASE WHEN full_tokens > 0 THEN floor((1 - task_tokens / full_tokens::DOUBLE) * 100 + 0.5) ELSE 0 END AS BIGINT) AS saved_pct FROM v""",
     "sampled_sentences": f"WITH c AS ({_CHECKED}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM c) SELECT doc_id, sent_idx FROM n WHERE sent_idx % greatest(1, ceil(n / 5.0)::BIGINT) = 0",
-    "mask_spans": f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS span_idx, unnest(s) AS span FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{mask.span_pattern()}') AS s FROM documents)",
-    "mask_round_trip": f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{mask.span_pattern()}')) AS n_items, true AS equal FROM documents WHERE text IS NOT NULL",
+    "mask_spans": f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS span_idx, unnest(s) AS span FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPAN}') AS s FROM documents)",
+    "mask_round_trip": f"""
+SELECT doc_id, len(regexp_extract_all(text, '{_SPAN}')) AS n_items,
+       (SELECT string_agg(p || i, '' ORDER BY k) FROM (SELECT unnest(string_split_regex(text, '{_SPAN}')) AS p, unnest(list_append(regexp_extract_all(text, '{_SPAN}'), '')) AS i, generate_subscripts(string_split_regex(text, '{_SPAN}'), 1) AS k)) = text AS equal
+FROM documents WHERE text IS NOT NULL""",
+    "document_windows": f"""
+WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{WS}+', '', 'g') AS t FROM documents),
+f AS (SELECT doc_id, t, CASE WHEN length(t) < 20 THEN [] ELSE list_transform(range(0, length(t) - 19, 10), lambda i: substr(t, i + 1, 20)) END AS w, CASE WHEN length(t) > 20 THEN right(t, 20) ELSE t END AS tail FROM c),
+g AS (SELECT doc_id, CASE WHEN t = '' OR (len(w) > 0 AND w[len(w)] = tail) THEN w ELSE list_append(w, tail) END AS w FROM f)
+SELECT doc_id, generate_subscripts(w, 1) - 1 AS win_idx, unnest(w) AS "window" FROM g""",
+    "dictionary_hits": f"""
+WITH h AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}')) AS word FROM documents)
+SELECT doc_id, word, count(*) AS n FROM h GROUP BY doc_id, word""",
+    "overlap_rate": f"""
+WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{WS}+', '', 'g') AS t FROM documents),
+f AS (SELECT doc_id, t, CASE WHEN length(t) < 20 THEN [] ELSE list_transform(range(0, length(t) - 19, 10), lambda i: substr(t, i + 1, 20)) END AS w, CASE WHEN length(t) > 20 THEN right(t, 20) ELSE t END AS tail FROM c WHERE t <> ''),
+g AS (SELECT doc_id, CASE WHEN len(w) > 0 AND w[len(w)] = tail THEN w ELSE list_append(w, tail) END AS w FROM f),
+r AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS win FROM g),
+s AS (SELECT doc_id, k, {_GRAMS.format('win')} AS g FROM r),
+x AS (SELECT doc_id, k, len(g) AS n, unnest(g) AS x FROM s),
+often AS (SELECT doc_id, x, count(*) AS c FROM x GROUP BY doc_id, x),
+b AS (SELECT x.doc_id - 1 AS doc_id, k, n, x.x, row_number() OVER (PARTITION BY x.doc_id, k ORDER BY coalesce(c, 0), x.x) AS p FROM x LEFT JOIN often ON often.doc_id = x.doc_id - 1 AND often.x = x.x),
+met AS (SELECT DISTINCT b.doc_id, b.k AS kb, x.k AS ka FROM b JOIN x ON x.doc_id = b.doc_id AND x.x = b.x AND least(x.n, b.n) >= 0.8 * greatest(x.n, b.n) - 1e-9 WHERE p <= b.n - ceil(0.8 * b.n - 1e-9) + 1),
+hit AS (SELECT DISTINCT met.doc_id, kb FROM met JOIN s a ON a.doc_id = met.doc_id AND a.k = ka JOIN s t ON t.doc_id = met.doc_id + 1 AND t.k = kb WHERE {_SIM.format('a.g', 't.g')} >= 0.8),
+n AS (SELECT doc_id - 1 AS doc_id, count(*) AS total FROM r GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS dup FROM hit GROUP BY doc_id)
+SELECT n.doc_id, round(coalesce(dup, 0) / total::DOUBLE, 9) AS rate, coalesce(dup, 0) AS dup_windows, total AS total_windows
+FROM n JOIN f ON f.doc_id = n.doc_id LEFT JOIN h ON h.doc_id = n.doc_id""",
+    "chunks": f"""
+WITH RECURSIVE p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^。！？；.!?;\\n]*[。！？；.!?;\\n]|[^。！？；.!?;\\n]+') AS parts FROM documents),
+l AS (SELECT doc_id, list_transform(parts, lambda x: length(x)) AS sizes FROM p),
+w AS (
+  SELECT doc_id, 1::BIGINT AS i, 0::BIGINT AS c, sizes[1]::BIGINT AS open FROM l WHERE len(sizes) > 0
+  UNION ALL
+  SELECT w.doc_id, i + 1, c + CASE WHEN open > 0 AND open + sizes[i + 1] > 380 THEN 1 ELSE 0 END, CASE WHEN open > 0 AND open + sizes[i + 1] > 380 THEN sizes[i + 1] ELSE open + sizes[i + 1] END
+  FROM w JOIN l ON l.doc_id = w.doc_id WHERE i < len(sizes)),
+u AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM p),
+j AS (SELECT w.doc_id, c, {TRIM % "string_agg(part, '' ORDER BY u.i)"} AS chunk FROM w JOIN u ON u.doc_id = w.doc_id AND u.i = w.i GROUP BY w.doc_id, c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS chunk_idx, chunk FROM j WHERE chunk <> ''""",
     "html_text": f"""
 WITH b AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<body[^>]*>[\\s\\S]*?</body>') THEN regexp_extract(html, '(?i)<body[^>]*>([\\s\\S]*?)</body>', 1) ELSE html END AS t FROM pages),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<script[\\s\\S]*?</script>', ' ', 'g'), '(?i)<style[\\s\\S]*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM b),
@@ -194,3 +278,4 @@ e AS (SELECT page_id, name, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext
 SELECT page_id, ext, CASE WHEN ext IN ('docx', 'doc', 'pdf', 'txt', 'rtf') THEN ext WHEN ext IN ('md', 'markdown') THEN 'md' WHEN ext IN ('html', 'htm') THEN 'html' END AS kind, regexp_replace(name, '\\.[^.]+$', '') AS base FROM e""",
     "search_urls": "SELECT n_nationkey, p.name, p.url || replace(trim(n_name), ' ', '%20') AS url FROM nation, (VALUES " + ", ".join(f"('{n}', '{u}')" for n, u in tx.SEARCH_PAGES) + ") p(name, url)",
 }
+ORACLES |= fixtures.ORACLES

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -114,9 +115,14 @@ def rtf_paragraphs(text: str | None) -> list[str]:
 _XML = re.compile(r"<!--[\s\S]*?(?:-->|$)|<!\[CDATA\[[\s\S]*?(?:\]\]>|$)|<\?[\s\S]*?(?:\?>|$)|</\s*([^\s>]+)[^>]*>|<([^\s/>]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+")
 
 
+def _character(number: int) -> str:
+    """The character of a number; the replacement character for those that aren't any."""
+    return chr(number) if number < 0x110000 and not 0xD800 <= number < 0xE000 else "\ufffd"
+
+
 def decode_entities(text: str) -> str:
-    text = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: chr(int(m[1], 16)), text)
-    text = re.sub(r"&#([0-9]+);", lambda m: chr(int(m[1])), text)
+    text = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: _character(int(m[1], 16)), text)
+    text = re.sub(r"&#([0-9]{1,4000});", lambda m: _character(int(m[1])), text)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"), ("&nbsp;", " ")):
         text = text.replace(entity, char)
     return text
@@ -201,10 +207,15 @@ def read_rtf(df: DataFrame, keep: list[str], content_col: str = "content") -> Da
 
 
 def read_docx_rows(df: DataFrame, keep: list[str], content_col: str = "content") -> DataFrame:
-    def rows(content: bytes) -> list[tuple]:
-        return [(k, p["text"], p["formulas"], p["safe"]) for k, p in enumerate(read_docx(bytes(content))[0])]
+    """``(*keep, para_idx, paragraph, formulas, safe, error)``; a file that can't be read is one row with index -1 and its error."""
+
+    def rows(content: bytes | None) -> list[tuple]:
+        try:
+            return [(k, p["text"], p["formulas"], p["safe"], None) for k, p in enumerate(read_docx(bytes(content or b""))[0])]
+        except (zipfile.BadZipFile, KeyError, UnicodeDecodeError, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error) as e:
+            return [(-1, None, [], False, f"{type(e).__name__}: {e}")]
 
-    return flat_map(df, [content_col], keep, "para_idx int, paragraph string, formulas array<string>, safe boolean", rows)
+    return flat_map(df, [content_col], keep, "para_idx int, paragraph string, formulas array<string>, safe boolean, error string", rows)
 
 
 def pdf_lines(glyphs: list[tuple[float, float, float, bool, str]], near: float = 1.6) -> list[dict]:
@@ -219,3 +230,66 @@ def pdf_lines(glyphs: list[tuple[float, float, float, bool, str]], near: float =
     for line in lines:
         line["text"] = _SPACES.sub(" ", "".join(t for _, t in sorted(line["parts"], key=lambda p: p[0]))).strip(_WS)
     return sorted((n for n in lines if n["text"]), key=lambda n: -n["y"])
+
+
+#: Points of a font when nothing is known; how much larger than the mean a heading is; lines' distance that ends a
+#: paragraph, in sizes; points by which lines of a paragraph may differ.
+PLAIN_SIZE, HEADING, FAR, ALIKE = 12.0, 1.12, 1.7, 2.0
+
+
+def pdf_paragraphs(pages: list[list[dict]]) -> list[tuple[str, float, bool]]:
+    """(text, size, heading) of a document's paragraphs from its pages' lines.
+
+    Headings stand alone. A line of text goes on with the paragraph before it, on the page before too, if their sizes
+    are alike and it isn't the last before a gap, a heading or the page's end.
+    """
+    lines = [line for page in pages for line in page]
+    mean = sum(n["size"] for n in lines) / len(lines) if lines else PLAIN_SIZE
+    out: list[list] = []
+    for page in pages:
+        for line, after in zip(page, [*page[1:], None]):
+            size = line["size"]
+            heading = size > mean * HEADING or bool(line["bold"] and size >= mean)
+            ends = after is None or line["y"] - after["y"] > size * FAR or (not heading and after["size"] > mean * HEADING)
+            if not heading and not ends and out and not out[-1][2] and abs(out[-1][1] - size) <= ALIKE:
+                out[-1][:2] = out[-1][0] + line["text"], max(out[-1][1], size)
+            else:
+                out.append([line["text"], size, heading])
+    return [tuple(x) for x in out]
+
+
+def read_pdf_glyphs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, para_idx, paragraph, size, heading, mean_size)`` from rows ``page, ord, x, y, size, bold, text`` of glyph runs.
+
+    A document's runs are gathered in one row; ``ord`` is their order on a page.
+    """
+    run = F.struct("page", "ord", "x", "y", "size", "bold", "text")
+    docs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(run)).alias("runs__"))
+
+    def rows(runs: list) -> list[tuple]:
+        pages: dict[int, list] = {}
+        for r in runs:
+            if (r["text"] or "").strip(_WS):
+                pages.setdefault(r["page"], []).append((r["x"], r["y"], r["size"] or PLAIN_SIZE, bool(r["bold"]), r["text"]))
+        lines = [pdf_lines(pages[k]) for k in sorted(pages)]
+        sizes = [n["size"] for page in lines for n in page]
+        mean = sum(sizes) / len(sizes) if sizes else PLAIN_SIZE
+        return [(k, *p, mean) for k, p in enumerate(pdf_paragraphs(lines))]
+
+    return flat_map(docs, ["runs__"], keys, "para_idx int, paragraph string, size double, heading boolean, mean_size double", rows)
+
+
+KNOWLEDGE = "categories array<struct<id:string,title:string,desc:string,entries:array<struct<name:string,url:string,desc:string,src:string,tag:string>>>>, guides array<struct<title:string,items:array<string>>>"
+
+
+def knowledge_entries(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """``(category, title, entry_idx, name, url, desc, src, tag)`` of knowledge bases, a JSON text each."""
+    cats = df.select(F.explode(F.from_json(F.col(json_col), KNOWLEDGE)["categories"]).alias("c"))
+    rows = cats.select(F.col("c.id").alias("category"), F.col("c.title").alias("title"), F.posexplode("c.entries").alias("entry_idx", "e"))
+    return rows.select("category", "title", "entry_idx", "e.*")
+
+
+def knowledge_guides(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """``(guide, item_idx, item)`` of knowledge bases."""
+    guides = df.select(F.explode(F.from_json(F.col(json_col), KNOWLEDGE)["guides"]).alias("g"))
+    return guides.select(F.col("g.title").alias("guide"), F.posexplode("g.items").alias("item_idx", "item"))

@@ -6,12 +6,14 @@ import io
 import re
 import zipfile
 from collections.abc import Sequence
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import escape_html
-from textloom.sources.documents import FORMULA_CLOSE, FORMULA_OPEN, _events, docx_paragraphs
+from textloom.operators import lint, similarity
+from textloom.sources.documents import FORMULA_CLOSE, FORMULA_OPEN, docx_paragraphs
 
 
 def ordered_join(df: DataFrame, keys: list[str], pos: str, text: Column, separator: str, out: str = "text") -> DataFrame:
@@ -49,22 +51,37 @@ def _escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
+PROPERTIES = frozenset(("w:pPr", "w:sectPr"))
+
+
+def _properties(raw: str) -> str:
+    """The property elements of a paragraph as they stand in it."""
+    data, spans, inside = raw.encode("utf-8"), [], []
+    parser = expat.ParserCreate()
+
+    def begin(name: str, _) -> None:
+        if inside or name in PROPERTIES:
+            inside.append(parser.CurrentByteIndex)
+
+    def end(_) -> None:
+        if inside:
+            start, tag = inside.pop(), parser.CurrentByteIndex
+            if not inside and data.startswith(b"</", tag):  # an empty element says nothing
+                spans.append(data[start : data.index(b">", tag) + 1])
+
+    parser.StartElementHandler, parser.EndElementHandler = begin, end
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError:
+        return ""
+    return b"".join(spans).decode("utf-8")
+
+
 def _rebuilt(paragraph: dict, text: str) -> str:
     """The paragraph with its properties, one run of the new text, and its formulas in their places."""
-    raw, kept, depth, start = paragraph["raw"], [], 0, 0
-    name = ""
-    for kind, tag, a, b in _events(raw):
-        if kind == "open" and (tag == name if depth else tag in ("w:pPr", "w:sectPr")):
-            depth += 1
-            if depth == 1:
-                name, start = tag, a
-        elif kind == "close" and depth and tag == name:
-            depth -= 1
-            if not depth:
-                kept.append(raw[start:b])
-    formulas = paragraph["formulas"]
-    body = re.sub(f"{FORMULA_OPEN}([0-9]+){FORMULA_CLOSE}", lambda m: formulas[int(m[1])] if int(m[1]) < len(formulas) else "", _escape(text))
-    return f'<w:p>{"".join(kept)}<w:r><w:t xml:space="preserve">{body}</w:t></w:r></w:p>'
+    formulas = dict(enumerate(paragraph["formulas"]))
+    body = re.sub(f"{FORMULA_OPEN}([0-9]+){FORMULA_CLOSE}", lambda m: formulas.get(int(m[1]), ""), _escape(text))
+    return f'<w:p>{_properties(paragraph["raw"])}<w:r><w:t xml:space="preserve">{body}</w:t></w:r></w:p>'
 
 
 def rebuild_docx(content: bytes, texts: Sequence[str | None]) -> bytes:
@@ -105,3 +122,61 @@ def minimal_docx(paragraphs: Sequence[str]) -> bytes:
         for name, text in parts.items():
             z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), head + text, zipfile.ZIP_DEFLATED)
     return out.getvalue()
+
+
+def _gathered(df: DataFrame, keys: list[str], pos: str, text_col: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text_col).alias("t"))))
+    return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["t"]).alias("texts__"))
+
+
+def to_rtf(df: DataFrame, keys: list[str], pos: str = "para_idx", text_col: str = "paragraph") -> DataFrame:
+    """``(*keys, text)``: an RTF document for each key."""
+    return similarity.flat_map(_gathered(df, keys, pos, text_col), ["texts__"], keys, "text string", lambda t: [(rtf_document([x or "" for x in t]),)])
+
+
+def to_docx(df: DataFrame, keys: list[str], pos: str = "para_idx", text_col: str = "paragraph") -> DataFrame:
+    """``(*keys, content)``: a plain word-processing document for each key."""
+    return similarity.flat_map(_gathered(df, keys, pos, text_col), ["texts__"], keys, "content binary", lambda t: [(minimal_docx([x or "" for x in t]),)])
+
+
+def into_docx(files: DataFrame, texts: DataFrame, keys: list[str], content_col: str = "content", texts_col: str = "texts") -> DataFrame:
+    """``(*keys, content)``: the files with new texts, an array for each (null: the paragraph stays); files without an array stay as they are."""
+    both = files.select(*keys, F.col(content_col).alias("content__")).join(texts.select(*keys, F.col(texts_col).alias("texts__")), keys, "left")
+    return similarity.flat_map(both, ["content__", "texts__"], keys, "content binary", lambda c, t: [(bytes(c) if t is None else rebuild_docx(bytes(c), t),)])
+
+
+# Words of the report, how many rows its tables have, and the similarity of the sentences it lists.
+REPORT_TITLE, REPORT_SENTENCES, REPORT_CHANGES, REPORT_ISSUES, REPORT_SIMILARITY = "论文降重自查报告", 20, 100, 30, 0.55
+REPORT_STATS = ("改写文与原文估算重复率", "疑似高度相似句子（≥55%）", "原文内部重复句对", "写作规范问题")
+REPORT_PARTS = ("一、疑似与原文高度相似的句子", "二、改写明细（前 100 条）", "三、写作规范检查")
+REPORT_HEADS = (("相似度", "句子"), ("#", "原文片段", "改写后", "策略"))
+
+
+def _table(head: Sequence[str], rows: Sequence[Sequence[str]], none: str) -> str:
+    cells = lambda tag, row: "<tr>" + "".join(f"<{tag}>{x}</{tag}>" for x in row) + "</tr>"
+    return "<table>" + cells("th", head) + "".join(cells("td", r) for r in rows) + "</table>" if rows else f"<p>{none}</p>"
+
+
+def report_page(original: str | None, rewritten: str | None, changes: Sequence[dict] | None = None, when: str = "") -> str:
+    """A page on how much of a rewritten text repeats its original, with the changes and the style issues."""
+    esc = lambda t: _escape(t or "").replace("&quot;", '"')
+    estimate = similarity.overlap(original, rewritten)
+    near = similarity.matched_sentences(original, rewritten, REPORT_SIMILARITY) if (rewritten or "").strip(similarity._WS) else []
+    twice, found, changes = similarity.repeated_sentences(original), lint.issues_of(original), changes or []
+    size = [len(similarity._SPACES.sub("", t or "")) for t in (original, rewritten)]
+    figures = (f"{estimate[0] * 100:.1f}%" if estimate else "-", len(near), len(twice), len(found))
+    stats = "".join(f'<div class="stat"><b>{v}</b>{name}</div>' for v, name in zip(figures, REPORT_STATS))
+    tables = (
+        _table(REPORT_HEADS[0], [(f"{v * 100:.0f}%", esc(s)) for _, v, s, _ in near[:REPORT_SENTENCES]], "未发现。"),
+        _table(REPORT_HEADS[1], [(k, esc(c["old"]), esc(c["new"]), esc(c["type"])) for k, c in enumerate(changes[:REPORT_CHANGES], 1)], "无。"),
+        "".join(f'<div class="issue"><b>{esc(t)}</b> — {reason}。建议：{esc(advice)}</div>' for _, t, _, reason, advice in found[:REPORT_ISSUES]) or "<p>未发现问题。</p>",
+    )
+    body = "".join(f"<h2>{name}</h2>{part}" for name, part in zip(REPORT_PARTS, tables))
+    lead = f"<p>生成时间：{esc(when)} · 原文 {size[0]} 字 → 改写后 {size[1]} 字 · 改写/变换 {len(changes)} 处</p>"
+    return f'<!DOCTYPE html><html lang="zh-CN"><head><meta charset="utf-8"><title>{REPORT_TITLE}</title></head><body><h1>{REPORT_TITLE}</h1>{lead}{stats}{body}</body></html>'
+
+
+def report(df: DataFrame, keep: list[str], original_col: str, rewritten_col: str, changes_col: str | None = None, when: str = "") -> DataFrame:
+    """``(*keep, page)``: a report on each pair of texts."""
+    columns = [original_col, rewritten_col, *([changes_col] if changes_col else [])]
+    return similarity.flat_map(df, columns, keep, "page string", lambda *v: [(report_page(*v, when=when),)])
