@@ -6,16 +6,20 @@ element looks (the sequence of its children) and what text it holds. Entropy
 makes these counts an importance between 0 and 1: elements that look and read
 the same on every page have none, elements that differ from page to page have
 much. A branch is noise if neither it nor anything in it has an importance above
-a limit; noise is cut from each page. Pages with equal texts count once, and
-paths on fewer than ``MIN_PAGES`` pages are not judged.
-
-What a page itself says about its parts (``nav``, ``footer``, ``aside``, roles,
-class names such as ``comments``) is taken into account before, since a host may
-have a single page. Text blocks that stand directly in a page's ``article`` or
-``main`` element are its content even where they repeat, as are headings.
-
-The trees of all hosts are aggregated by Spark, with one row for each path. Only
-the paths of noise go back to the pages: broadcast where they are few
+a limit. Blocks of text are content nodes of their own, a path with a text: one
+that stands on more than ``COMMON`` of a host's pages is noise, wherever it
+stands. Noise is cut from each page. Pages with equal texts count once, and
+nothing is judged on fewer than ``MIN_PAGES`` pages, which say nothing about a site.
+
+The tree can't know what differs from page to page and still isn't the text:
+readers' comments, adverts by turns, other articles. Such parts are taken out by what
+a page says about them (``nav``, ``footer``, ``aside``, roles, class names), which
+also serves hosts of few pages; ``marks=False`` leaves it all to the tree. Paths of
+text blocks directly in ``article`` or ``main`` are judged by their texts alone, since
+all paragraphs of an article share one path; headings stay.
+
+The trees of all hosts are aggregated by Spark, with one row for each path or
+block. Only what is noise goes back to the pages: broadcast where it is little
 (``broadcast_paths``), otherwise joined path by path.
 """
 
@@ -32,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import cut, slices, table
+from textloom.llm.common import cut, fresh, slices, table
 
-#: Importance of noise at most, weight of a level of the tree, and distinct pages from which a path is judged.
-LIMIT, DECAY, MIN_PAGES = 0.2, 0.9, 4
+#: Importance of noise at most, share of a host's pages with a block that make it noise, and distinct pages from which a host is judged.
+LIMIT, COMMON, MIN_PAGES = 0.2, 0.5, 3
 #: Levels of the tree that are told apart; deeper elements count as part of the last one.
-DEPTH = 24
+DEPTH = 64
 
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*'|[\"'])[^>\"']*)*)>?|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -51,6 +55,8 @@ BLOCK = frozenset(
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADING | frozenset("p blockquote pre li ul ol dl dd dt table tbody thead tr td th figure figcaption".split())
+#: Elements whose whole text is a block that is judged by itself.
+BLOCKS = frozenset("p blockquote pre li dd dt td th figcaption".split())
 #: An open element of the second kind ends where an element of the first kind begins, up to an element of the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -188,46 +194,36 @@ def _has_text(node: Node, in_main: bool = False) -> bool:
     return False
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The outermost articles outside unwanted parts, else main elements, else the whole page."""
-    articles, mains, stack = [], [], [root]
+def main_nodes(root: Node, marks: bool = True) -> list[Node]:
+    """The outermost main elements and articles outside unwanted parts, in page order; the whole page where neither has text."""
+    found, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.tag and unwanted(node, False):
-            continue
-        if node.tag == "article" or node.role == "article":
-            if _has_text(node):
-                articles.append(node)
+        if node.tag and marks and unwanted(node, False):
             continue
         if _is_main(node) and _has_text(node):
-            mains.append(node)
+            found.append(node)
+            continue
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return articles or mains[:1] or [root]
+    return found or [root]
 
 
-def blocks(page: str | None, noise: frozenset[bytes] | set[bytes] = frozenset()) -> list[str]:
-    """The page's text, block by block, without the branches whose paths are in ``noise``."""
+def blocks(page: str | None, noise: frozenset[bytes] | set[bytes] = frozenset(), marks: bool = True) -> list[str]:
+    """The page's text, block by block, without the branches and blocks whose keys are in ``noise``."""
     root = parse(page or "")
-    tops = main_nodes(root)
-    found = _collect(tops, noise)
-    return found or (_collect(tops, frozenset()) if noise else found)
-
-
-def _collect(tops: list[Node], noise) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = plain("".join(run))
             run.clear()
             if text:
                 out.append(text)
 
-    for top in tops:
+    for top in main_nodes(root, marks):
         in_main = _is_main(top)
-        path = _path_to(top)
-        stack: list = [(top, path, in_main, True)]
+        stack: list = [(top, _path_to(top), in_main, True)]
         while stack:
             node, path, direct, entering = stack.pop()
             if isinstance(node, str):
@@ -239,25 +235,48 @@ def _collect(tops: list[Node], noise) -> list[str]:
                     flush()
                 continue
             if node is not top:
-                if unwanted(node, in_main):
+                if node.tag in SILENT or marks and unwanted(node, in_main):
                     run.append(" ")
                     continue
                 kept = node.tag in HEADING or direct and node.tag in TEXTUAL or not block
                 if noise and not kept and path_key(path) in noise:
                     continue
+                if noise and node.tag in BLOCKS and block_key(path, own_text(node)) in noise:
+                    continue
             if block:
                 flush()
                 stack.append((node, path, direct, False))
             elif node.tag in ("br", "img", "wbr"):
                 run.append(" " if node.tag != "wbr" else "")
             own = direct and in_main and (node is top or node.tag in TEXTUAL or node.tag == "")
-            deeper = len(path) < DEPTH
             for c in reversed(node.children):
-                stack.append((c, path, own, True) if isinstance(c, str) else (c, (*path, c.name) if deeper else path, own, True))
+                stack.append((c, path, own, True) if isinstance(c, str) else (c, _below(path, c), own, True))
         flush()
     return out
 
 
+def plain(text: str) -> str:
+    return " ".join(html.unescape(text).split())
+
+
+def own_text(node: Node) -> str:
+    """The text of a block, without the blocks in it."""
+    parts, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x is node or x.tag not in BLOCK and x.tag not in SILENT:
+            stack += reversed(x.children)
+        else:
+            parts.append(" ")
+    return plain("".join(parts))
+
+
+def _below(path: tuple[str, ...], node: Node) -> tuple[str, ...]:
+    return (*path, node.name) if len(path) < DEPTH else path
+
+
 def _path_to(node: Node) -> tuple[str, ...]:
     names = []
     while node is not None and node.tag:
@@ -271,14 +290,28 @@ def path_key(path: tuple[str, ...]) -> bytes:
     return blake2b("/".join(path).encode("utf-8", "surrogatepass"), digest_size=12).digest()
 
 
+@lru_cache(1 << 15)
+def _block_key(path: bytes, text: str) -> bytes:
+    return blake2b(path + text.encode("utf-8", "surrogatepass"), digest_size=12, person=b"block").digest()
+
+
+def block_key(path: tuple[str, ...], text: str) -> bytes | None:
+    return _block_key(path_key(path), text) if text else None
+
+
 def _digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-def features(page: str) -> tuple[bytes, list[tuple[list[bytes], bytes, bytes]]]:
-    """The page's digest and, for each path on it: (keys of the path and its ancestors, digest of the look, digest of the own text)."""
+def features(page: str) -> tuple[bytes, list[tuple[list[bytes], bytes, bytes]], list[bytes]]:
+    """What a page adds to its host's tree.
+
+    The page's digest; for each path on it (keys of the path and its ancestors, digest of the look, digest of the own
+    text); and the keys of its blocks of text.
+    """
     looks: dict[tuple[str, ...], list[str]] = {}
     texts: dict[tuple[str, ...], list[str]] = {}
+    own: set[bytes] = set()
     stack = [(parse(page), ())]
     while stack:
         node, path = stack.pop()
@@ -287,13 +320,14 @@ def features(page: str) -> tuple[bytes, list[tuple[list[bytes], bytes, bytes]]]:
         if path:
             looks.setdefault(path, []).append(",".join(c.name for c in node.children if isinstance(c, Node)))
             texts.setdefault(path, []).append("".join(c for c in node.children if isinstance(c, str)).strip())
-        deeper = len(path) < DEPTH
-        stack += [(c, (*path, c.name) if deeper else path) for c in reversed(node.children) if isinstance(c, Node)]
+        if node.tag in BLOCKS and (key := block_key(path, own_text(node))):
+            own.add(key)
+        stack += [(c, _below(path, c)) for c in reversed(node.children) if isinstance(c, Node)]
     rows = []
     for path, look in looks.items():
         text = "\n".join(x for x in texts[path] if x)
         rows.append(([path_key(path[:k]) for k in range(len(path), 0, -1)], _digest("|".join(look)), _digest(text) if text else b""))
-    return _digest("\n".join(x for t in texts.values() for x in t if x)), rows
+    return _digest("\n".join(x for t in texts.values() for x in t if x)), rows, sorted(own)
 
 
 def host_of(url):
@@ -304,15 +338,15 @@ ROW = T.ArrayType(T.StructType([T.StructField("up", T.ArrayType(T.BinaryType()))
 
 
 def noise_paths(pages: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """``(host, path)`` of the branches of each host's style tree that are noise; ``pages`` has ``host`` and ``html``."""
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.BinaryType()), T.StructField("nodes", ROW)])
+    """``(host, path)``: the keys of what is noise on each host, branches of its style tree and blocks; ``pages`` has ``host`` and ``html``."""
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.BinaryType()), T.StructField("nodes", ROW), T.StructField("blocks", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("up", pa.list_(pa.binary())), ("look", pa.binary()), ("text", pa.binary())]))
         for batch in slices(batches, 1):
             got = [features(x or "") for x in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.struct([("up", pa.list_(pa.binary())), ("look", pa.binary()), ("text", pa.binary())]))
-            nodes = pa.array([[{"up": u, "look": a, "text": b} for u, a, b in rows] for _, rows in got], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in got], pa.binary()), nodes], names=["host", "page", "nodes"])
+            nodes = pa.array([[{"up": u, "look": a, "text": b} for u, a, b in rows] for _, rows, _ in got], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _, _ in got], pa.binary()), nodes, pa.array([x for _, _, x in got], pa.list_(pa.binary()))], names=["host", "page", "nodes", "blocks"])
 
     distinct = pages.select("host", "html").mapInArrow(run, schema).dropDuplicates(["host", "page"])
     nodes = distinct.select("host", F.explode("nodes").alias("n")).select("host", F.col("n.up").alias("up"), F.col("n.look").alias("look"), F.col("n.text").alias("text"))
@@ -332,25 +366,32 @@ def noise_paths(pages: DataFrame, limit: float = LIMIT) -> DataFrame:
     looks = entropy("look").select("host", "path", "pages", "up", spread().alias("look_e"))
     texts = entropy("text").select(F.col("host").alias("h__"), F.col("path").alias("p__"), F.when(F.col("has") > 0, spread()).alias("text_e"))
     joined = looks.join(texts, (F.col("host") == F.col("h__")) & (F.col("path") == F.col("p__")))
-    own = joined.select("host", "pages", "up", F.greatest("text_e", F.when(F.col("text_e").isNull(), F.col("look_e")).otherwise(0.0)).alias("imp"))
-    # An element's composite importance weighs what lies below it, less with every level; a branch is judged by its best element.
-    up = own.select("host", "pages", "imp", F.posexplode("up").alias("level", "path"))
-    weight = F.pow(F.lit(DECAY), F.col("level")) * F.col("pages")
-    judged = up.groupBy("host", "path").agg((F.sum(F.col("imp") * weight) / F.sum(weight)).alias("composite"), F.max("imp").alias("best"), F.max("pages").alias("pages"))
-    return judged.where((F.col("pages") >= MIN_PAGES) & (F.greatest("composite", "best") <= limit)).select("host", "path")
+    # A node's importance is that of its content, or of its presentation where it holds no text itself; a branch has that of its best node.
+    own = joined.select("host", "pages", "up", F.coalesce("text_e", "look_e").alias("imp"))
+    up = own.select("host", "pages", "imp", F.explode("up").alias("path"))
+    judged = up.groupBy("host", "path").agg(F.max("imp").alias("best"), F.max("pages").alias("pages"))
+    branches = judged.where((F.col("pages") >= MIN_PAGES) & (F.col("best") <= limit)).select("host", "path")
+
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    often = distinct.select("host", F.explode("blocks").alias("path")).groupBy("host", "path").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_PAGES - 1)
+    common = often.join(sizes, "host").where(F.col("c") > F.col("pages") * F.lit(COMMON if limit >= 0 else 2.0)).select("host", "path")
+    return branches.union(common)
 
 
-def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", limit: float = LIMIT, broadcast_paths: int = 200_000) -> DataFrame:
+def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", limit: float = LIMIT, broadcast_paths: int = 200_000, marks: bool = True) -> DataFrame:
     """``df`` with ``html_col`` replaced by the page's main text in ``text_col``; a column of that name is replaced.
 
     Blocks are in page order, joined by an empty line, and white space in a
-    block is one blank. Null and empty pages, and pages without text, give an
-    empty text. Pages without a host are one site. Repeated rows give equal
-    texts; an empty table gives an empty result.
+    block is one blank. Null and empty pages, pages without text and pages of
+    nothing but noise give an empty text. Pages without a host are one site.
+    Repeated rows give equal texts and count as one page; an empty table gives
+    an empty result; a page of any length is read whole. All other columns are
+    kept, whatever their names. A ``limit`` below 0 switches the tree off.
     """
     base = [c for c in df.columns if c not in (html_col, text_col)]
-    pages = df.select(*base, host_of(F.col(url_col)).alias("host__"), F.col(html_col).alias("html__"))
-    noise = cut(noise_paths(pages.select(F.col("host__").alias("host"), F.col("html__").alias("html")), limit))
+    host, content, one, two, lost = fresh([*base, text_col], "host__", "html__", "k1__", "k2__", "noise__")
+    pages = df.select(*base, host_of(F.col(url_col)).alias(host), F.col(html_col).alias(content))
+    noise = cut(noise_paths(pages.select(F.col(host).alias("host"), F.col(content).alias("html")), limit))
     n = len(base)
     out = T.StructType([*pages.schema.fields[:n], T.StructField(text_col, T.StringType())])
 
@@ -359,7 +400,7 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_co
             of = noise_of()
             for batch in slices(batches, n + 1):
                 marks = batch.column(n).to_pylist()
-                texts = ["\n\n".join(blocks(x, of(m))) if x else "" for m, x in zip(marks, batch.column(n + 1).to_pylist())]
+                texts = ["\n\n".join(blocks(x, of(m), marks)) if x else "" for m, x in zip(marks, batch.column(n + 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=out.names)
 
         return run
@@ -376,22 +417,23 @@ def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_co
 
         return pages.mapInArrow(run_with(from_broadcast), out)
 
-    key = [F.xxhash64("host__", "html__").alias("k1__"), F.xxhash64("html__", "host__", F.lit(1)).alias("k2__")]
-    keyed = pages.select(*base, "host__", "html__", *key)
+    key = [F.xxhash64(host, content).alias(one), F.xxhash64(content, host, F.lit(1)).alias(two)]
+    keyed = pages.select(*base, host, content, *key)
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows, found = [], []
             for row, x in enumerate(batch.column(1).to_pylist()):
-                own = [up[0] for up, _, _ in features(x or "")[1]]
-                rows += [row] * len(own)
-                found += own
+                _, nodes, own = features(x or "")
+                keys = {key for up, _, _ in nodes for key in up}.union(own)
+                rows += [row] * len(keys)
+                found += keys
             take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 2, 3)), pa.array(found, pa.binary())], names=["host", "k1__", "k2__", "path"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 2, 3)), pa.array(found, pa.binary())], names=["host", "k1", "k2", "path"])
 
-    met = keyed.select("host__", "html__", "k1__", "k2__").mapInArrow(paths, "host string, k1__ long, k2__ long, path binary").join(noise, ["host", "path"])
-    own = met.groupBy("k1__", "k2__").agg(F.collect_set("path").alias("noise__"))
-    joined = keyed.join(own, ["k1__", "k2__"], "left").select(*base, "noise__", "html__")
+    met = keyed.select(F.col(host).alias("host"), F.col(content).alias("html"), F.col(one).alias("k1"), F.col(two).alias("k2")).mapInArrow(paths, "host string, k1 long, k2 long, path binary").join(noise, ["host", "path"])
+    own = met.groupBy(F.col("k1").alias(one), F.col("k2").alias(two)).agg(F.collect_set("path").alias(lost))
+    joined = keyed.join(own, [one, two], "left").select(*base, lost, content)
     return joined.mapInArrow(run_with(lambda: lambda mine: set(mine or ())), out)
 
 
