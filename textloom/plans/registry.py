@@ -20,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that is heavy on every row: one of fewer files than cores is dealt out to all of them."""
+    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def sentences(spark, d):
     return segment.sentence_rows(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "sentence")
 
@@ -30,7 +36,7 @@ def check_sentences(spark, d):
 
 def text_stats(spark, d):
     t = F.coalesce("text", F.lit(""))
-    return _table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("length"), tx.non_ws_length(t).cast("long").alias("visible"), tx.cjk_count(t).cast("long").alias("cjk"), F.size(segment.split_sentences(t)).cast("long").alias("sentences"))
+    return _spread(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("length"), tx.non_ws_length(t).cast("long").alias("visible"), tx.cjk_count(t).cast("long").alias("cjk"), F.size(segment.split_sentences(t)).cast("long").alias("sentences"))
 
 
 def token_estimate(spark, d):
@@ -42,12 +48,12 @@ def windows(spark, d):
 
 
 def chunks(spark, d):
-    found = segment.chunk_rows(_table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    found = segment.chunk_rows(_spread(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
     return found.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "chunk")
 
 
 def document_windows(spark, d):
-    found = segment.window_rows(_table(spark, d, "documents").select("doc_id", "text"))
+    found = segment.window_rows(_spread(spark, d, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("win_idx").cast("long").alias("win_idx"), "window")
 
 
@@ -72,7 +78,7 @@ def paragraphs(spark, d):
 
 
 def self_duplicates(spark, d):
-    found = similarity.self_duplicates(_table(spark, d, "documents"), ["doc_id"])
+    found = similarity.self_duplicates(_spread(spark, d, "documents"), ["doc_id"])
     return found.select("doc_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("sim", 9).alias("sim"))
 
 
@@ -80,7 +86,7 @@ def overlap_rate(spark, d):
     """Each document against the next one."""
     docs = _table(spark, d, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
-    found = similarity.overlap_rate(docs.join(after, "doc_id"), ["doc_id"], "text", "next")
+    found = similarity.overlap_rate(docs.join(after.hint("merge"), "doc_id"), ["doc_id"], "text", "next")
     return found.select("doc_id", F.round("rate", 9).alias("rate"), F.col("dup_windows").cast("long").alias("dup_windows"), F.col("total_windows").cast("long").alias("total_windows"))
 
 
@@ -109,7 +115,7 @@ def sampled_sentences(spark, d):
 
 
 def mask_spans(spark, d):
-    return mask.spans(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("span_idx").cast("long").alias("span_idx"), "span")
+    return mask.spans(_spread(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("span_idx").cast("long").alias("span_idx"), "span")
 
 
 def mask_round_trip(spark, d):
@@ -119,15 +125,15 @@ def mask_round_trip(spark, d):
 
 
 def html_text(spark, d):
-    return _table(spark, d, "pages").select("page_id", src.html_text(F.col("html")).alias("text"))
+    return _spread(spark, d, "pages").select("page_id", src.html_text(F.col("html")).alias("text"))
 
 
 def html_paragraphs(spark, d):
-    return src.read_html(_table(spark, d, "pages"), ["page_id"], "html")
+    return src.read_html(_spread(spark, d, "pages"), ["page_id"], "html")
 
 
 def lint_issues(spark, d):
-    return lint.issues(_table(spark, d, "documents"), ["doc_id"]).select("doc_id", F.col("issue_idx").cast("long").alias("issue_idx"), "type", F.col("index").cast("long").alias("index"), "issue")
+    return lint.issues(_spread(spark, d, "documents"), ["doc_id"]).select("doc_id", F.col("issue_idx").cast("long").alias("issue_idx"), "type", F.col("index").cast("long").alias("index"), "issue")
 
 
 def issues_by_type(spark, d):
