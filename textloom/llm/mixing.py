@@ -176,8 +176,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS src, md5(cast(doc_id AS VARCHAR)) AS o,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
   FROM documents),
 s AS (SELECT src, cast(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY src) AS k FROM d GROUP BY src),
 w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 3.0::DOUBLE AS cap FROM s),
