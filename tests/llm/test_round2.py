@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chat, common, html_extract, line_dedup, mixing, near_copies, quality
+from textloom.llm import ann, bpe, chat, common, html_extract, licenses, line_dedup, mixing, near_copies, quality
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -349,3 +349,19 @@ def test_near_copies_hold_for_crowds_and_long_texts(spark):
             low, high = sorted((root[a], root[b]))
             root = [low if r == high else r for r in root]
     assert [found[k] for k in range(len(texts))] == root and len(set(root)) < len(texts) - 50
+
+
+def test_licence_notices(spark):
+    notices = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit-text", True),
+        ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "apache,apache-2.0", True),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0-or-later", True),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc", True),
+        ("without any express or implied warranty. In no event will the authors be held liable", "zlib", True),
+        ("Permission is hereby granted, free of charge.", "mit-text", False),
+        ("Permission is hereby refused, free of charge; use and modify this software without fee under the terms of any later version", "", False),
+    ]
+    rows = [(k, text) for k, (text, _, _) in enumerate(notices)]
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, labels, whole) in enumerate(notices):
+        assert got[k].labels == labels and (got[k].score == 1.0) == whole and (got[k].score > 0) == bool(labels)

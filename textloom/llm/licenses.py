@@ -28,22 +28,34 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 TEMPLATES = (
     ("agpl", "gnu affero general public license"),
     ("all-rights-reserved", "all rights reserved"),
-    ("apache-2.0", "apache license version 2 0"),
-    ("bsd", "redistribution ~ use ~ source ~ binary forms"),
+    ("apache-2.0", "apache license version 2 0 ~ license? ~ ~ ~ use? ~ file? except? ~ compliance?"),
+    ("artistic", "artistic license 2? 0?"),
+    ("bsd", "redistribution ~ use ~ source ~ binary forms ~ ~ ~ modification? ~ permitted? provided? ~ ~ following? conditions?"),
+    ("bsl-1.0", "boost software license version? 1? 0?"),
     ("cc-by-4.0", "cc by 4 0"),
     ("cc-by-nc-4.0", "cc by nc 4 0"),
+    ("cc-by-nc-nd-4.0", "cc by nc nd 4 0"),
+    ("cc-by-nc-sa-4.0", "cc by nc sa 4 0"),
     ("cc-by-nd-4.0", "cc by nd 4 0"),
     ("cc-by-sa-4.0", "cc by sa 4 0"),
     ("cc0", "cc0 1? 0? universal?"),
+    ("epl", "eclipse public license v? 2? 0?"),
     ("gpl-2.0", "gnu general public license version 2"),
+    ("gpl-2.0-or-later", "redistribute ~ ~ ~ modify ~ under ~ terms ~ ~ gnu general public license ~ published? ~ ~ free? software? foundation? ~ version 2 ~ ~ license? ~ ~ ~ option? ~ later version"),
     ("gpl-3.0", "gnu general public license version 3"),
+    ("gpl-3.0-or-later", "redistribute ~ ~ ~ modify ~ under ~ terms ~ ~ gnu general public license ~ published? ~ ~ free? software? foundation? ~ version 3 ~ ~ license? ~ ~ ~ option? ~ later version"),
+    ("isc", "permission ~ use copy modify ~ ~ distribute ~ software ~ any purpose ~ ~ without fee ~ hereby granted"),
     ("lgpl", "gnu lesser general public license"),
-    ("mit-text", "permission ~ hereby granted free ~ charge"),
+    ("mit-text", "permission ~ hereby granted free ~ charge ~ any? person? obtaining? ~ copy? ~ ~ software? ~ associated? documentation? files?"),
     ("mpl-2.0", "mozilla public license version? 2? 0?"),
     ("unlicense", "released into ~ public domain"),
+    ("zlib", "without ~ express ~ implied warranty ~ ~ event ~ ~ authors ~ held liable"),
 )
 #: Words too common to look a file up by.
-COMMON = frozenset("all by charge domain forms free general into public source use version 0 1 2 3 4".split())
+COMMON = frozenset(
+    "all any authors by charge conditions copy distribute documentation domain event except fee file files following forms foundation free general held into later modify option permitted person provided public published "
+    "purpose software source terms under use v version without 0 1 2 3 4".split()
+)
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANCHORS = 2
