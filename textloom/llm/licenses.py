@@ -27,7 +27,6 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 #: Label and words of each template. "~" is any one word; "?" ends a word that isn't mandatory.
 TEMPLATES = (
     ("agpl", "gnu affero general public license"),
-    ("all-rights-reserved", "all rights reserved"),
     ("apache-2.0", "apache license version 2 0 ~ license? ~ ~ ~ use? ~ file? except? ~ compliance?"),
     ("artistic", "artistic license 2? 0?"),
     ("bsd", "redistribution ~ use ~ source ~ binary forms ~ ~ ~ modification? ~ permitted? provided? ~ ~ following? conditions?"),
@@ -53,7 +52,7 @@ TEMPLATES = (
 )
 #: Words too common to look a file up by.
 COMMON = frozenset(
-    "all any authors by charge conditions copy distribute documentation domain event except fee file files following forms foundation free general held into later modify option permitted person provided public published "
+    "any authors by charge conditions copy distribute documentation domain event except fee file files following forms foundation free general held into later modify option permitted person provided public published "
     "purpose software source terms under use v version without 0 1 2 3 4".split()
 )
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
