@@ -393,7 +393,7 @@ def test_licenses(spark):
         (4, "Permission is hereby granted, free of charge, to any person", "s"),
         (5, None, "s"),
         (6, "plain words only", "s"),
-        (7, "x " * 30_000 + "All rights reserved", "s"),
+        (7, "x " * 30_000 + "Mozilla Public License", "s"),
         (1, "This work is licensed under the GNU General Public License, version 3.", "s"),
     ]
     out = licenses.scan(make(spark, rows)).collect()
@@ -401,7 +401,7 @@ def test_licenses(spark):
     got = {r.id: r for r in out}
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].labels, got[1].score) == (12, 1, 6, "gpl,gpl-3.0", 1.0)
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels, got[2].labels) == (3, 2, 12, "cc-by,mit", "cc-by,cc-by-nc-4.0,mit")
-    assert (got[3].n_base, got[3].labels) == (2, "apache") and got[4].labels == "mit-text" and got[7].labels == "all-rights-reserved"
+    assert (got[3].n_base, got[3].labels) == (2, "apache") and got[4].labels == "mit-text" and got[7].labels == "mpl-2.0"
     assert (got[5].n_words, got[5].first_word, got[5].labels, got[5].score) == (0, None, "", 0.0) and got[6].n_base == 0
 
 
