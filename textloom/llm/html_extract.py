@@ -348,7 +348,8 @@ def noise_paths(pages: DataFrame, limit: float = LIMIT) -> DataFrame:
             nodes = pa.array([[{"up": u, "look": a, "text": b} for u, a, b in rows] for _, rows, _ in got], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _, _ in got], pa.binary()), nodes, pa.array([x for _, _, x in got], pa.list_(pa.binary()))], names=["host", "page", "nodes", "blocks"])
 
-    distinct = pages.select("host", "html").mapInArrow(run, schema).dropDuplicates(["host", "page"])
+    # Read three times below, so it is kept: pages are parsed once for the tree.
+    distinct = cut(pages.select("host", "html").mapInArrow(run, schema).dropDuplicates(["host", "page"]))
     nodes = distinct.select("host", F.explode("nodes").alias("n")).select("host", F.col("n.up").alias("up"), F.col("n.look").alias("look"), F.col("n.text").alias("text"))
     nodes = nodes.withColumn("path", F.element_at("up", 1))
 
