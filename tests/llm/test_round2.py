@@ -365,3 +365,54 @@ def test_licence_notices(spark):
     got = {r.id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, (_, labels, whole) in enumerate(notices):
         assert got[k].labels == labels and (got[k].score == 1.0) == whole and (got[k].score > 0) == bool(labels)
+
+
+def test_bitmaps_lose_no_similar_pair_and_drop_passages_in_common(spark):
+    rnd = random.Random(5)
+    rows, pairs, similar, passage = [], [], set(), 0
+    for k in range(120):
+        n = rnd.choice([1, 2, 5, 9, 63, 64, 65, 100, 128, 129, 700])
+        one = {rnd.getrandbits(64) for _ in range(n)}
+        lost, new = rnd.randrange(n // 8 + 1), rnd.randrange(n // 8 + 2)
+        if k % 4 == 0 and n >= 63:  # a quarter is the same, in sets as far apart in size as the similarity allows
+            passage += 1
+            two = set(sorted(one)[: n // 4]) | {rnd.getrandbits(64) for _ in range(n)}
+        else:
+            two = set(sorted(one)[lost:]) | {rnd.getrandbits(64) for _ in range(new)}
+        for node, x in ((2 * k, one), (2 * k + 1, two)):
+            h = np.array(sorted(x), np.uint64)
+            rows.append((node, len(h), near_copies.bitmap(h).view(np.int64).tolist()))
+        pairs.append((2 * k, 2 * k + 1))
+        if 10 * len(one & two) >= 8 * len(one | two):
+            similar.add(pairs[-1])
+    h = np.array([rnd.getrandbits(64) for _ in range(100)], np.uint64)
+    assert (near_copies.bitmap(h)[:1] ^ near_copies.bitmap(h)[1:]).tolist() == [int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))))]
+    nodes = spark.createDataFrame(rows, "node long, n long, bits array<long>")
+    got = {tuple(r) for r in near_copies.plausible(spark.createDataFrame(pairs, "a long, b long"), nodes, 0.8).collect()}
+    assert similar and similar <= got
+    assert passage and all(pairs[k] not in got for k in range(0, 120, 4) if rows[2 * k][1] >= 63)
+
+
+def test_a_passage_of_some_dozens_of_texts_is_frequent_in_a_table_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 40)
+    rnd = random.Random(6)
+    texts = [("one two three four five " if k % 50 == 0 else "") + " ".join(f"w{rnd.getrandbits(40)}" for _ in range(6)) for k in range(6000)]
+    hashes, counts = near_copies.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text__ string"), 5)
+    assert hashes.tolist() == near_copies.shingle_set(b"one two three four five", 5).tolist() and counts[0] >= 3
+
+
+def test_prefixes_are_shuffled_once(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        if "hub_nr" in df.columns:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.cut(df)
+
+    monkeypatch.setattr(near_copies, "cut", seen)
+    rnd = random.Random(7)
+    rows = [(k, " ".join(rnd.choices(WORDS, k=40)), "en", "s", 0) for k in range(60)]
+    near_copies.near_copies(spark.createDataFrame(rows, DOCS)).count()
+    final = plans[0].split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 1

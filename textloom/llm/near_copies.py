@@ -15,10 +15,17 @@ that as many follow in either. So each set is entered under its first
 element only where the places allow the similarity.
 
 The order has the shingles first that are rare in a sample of the texts. It
-decides only how many pairs are looked at. The most frequent shingles of the
+decides only how many pairs are looked at. The sample grows with the table, so
+that a passage that stands in some dozens of texts counts as frequent in a table
+of any size, and the texts that share it aren't paired. The most frequent shingles of the
 sample, ``FREQUENT`` at most, are sent to the executors; all others count as rare and
 go by their hash.
 
+Candidates are first compared by bitmaps: each element of a set flips one bit of
+as many as the set has elements, or up to twice as many. Elements of both sets
+flip the same bits, so the bitmaps differ in no more bits than the sets in elements, and none
+that is similar is lost. Only what this leaves is compared by complete sets.
+
 Groups of copies are not paired out. Under a crowded element every node is first
 paired with one only, the node that has the element earliest in its own order:
 a text of which the others are altered copies has no rare shingles, so it is
@@ -47,9 +54,9 @@ from textloom.llm.simhash import shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 #: Bits in which fingerprints of candidates may differ, and the segments they are looked up by.
 MAX_DISTANCE, SEGMENTS = 3, 2
-#: Texts in the sample for the order, texts of it that make a shingle frequent, and frequent shingles sent out at most.
-SAMPLE, OFTEN, FREQUENT = 8_000, 3, 100_000
-#: Shingles in the sets that are broadcast at most; sets of more are joined.
+#: Texts in the sample for the order at least, one of how many texts it has, texts of it that make a shingle frequent, and frequent shingles sent out at most.
+SAMPLE, ONE_OF, OFTEN, FREQUENT = 8_000, 8, 3, 1_000_000
+#: Shingles in the sets, and words of bitmaps, that are broadcast at most; more are joined.
 BROADCAST_SHINGLES = 1_000_000
 #: Names of nodes that are broadcast at most; more are joined.
 BROADCAST_NODES = 500_000
@@ -83,8 +90,8 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
     n = texts.count()
-    sample = texts.sample(False, min(1.0, SAMPLE / n), 7) if n > SAMPLE else texts
-    often = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    sample = texts.sample(False, max(SAMPLE / n, 1 / ONE_OF), 7) if n > SAMPLE else texts
+    often = cut(sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN))
     often = often.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     hashes, counts = (often.column(k).to_numpy().astype(np.int64) for k in range(2))
     hashes = hashes.view(np.uint64)
@@ -103,24 +110,34 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similar
     return hashes[np.lexsort((hashes, rank))[:size]]
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, a power of two of them with at least as many bits as the set has elements; each element flips the bit of its low end.
+
+    The two halves xored are the bitmap of half as many bits.
+    """
+    bits = 64 << max(0, (len(hashes) - 1).bit_length() - 6)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def described(df: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """``df`` without its text, with what is known of the text's set.
 
     ``s1, s2``: its 128-bit name; ``n``: its size; ``fp``: its fingerprint;
-    ``prefix``: its first elements, null where the task has already given them
-    for an equal set.
+    ``prefix``: its first elements, ``bits``: its bitmap, both null where the
+    task has already given them for an equal set.
     """
     at = df.columns.index(text_col)
     rest = [k for k in range(len(df.columns)) if k != at]
     long = T.LongType()
-    out = T.StructType([*(df.schema.fields[k] for k in rest), *(T.StructField(x, long) for x in ("s1", "s2", "n", "fp")), T.StructField("prefix", T.ArrayType(long))])
+    out = T.StructType([*(df.schema.fields[k] for k in rest), *(T.StructField(x, long) for x in ("s1", "s2", "n", "fp")), T.StructField("prefix", T.ArrayType(long)), T.StructField("bits", T.ArrayType(long))])
     sent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df.select(F.col(text_col).alias("text__")), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = sent.value
         seen: set[bytes] = set()
         for batch in slices(batches, at, STEP):
-            names, sizes, fps, firsts = [], [], [], []
+            names, sizes, fps, firsts, maps = [], [], [], [], []
             for x in utf8(batch.column(at)):
                 hashes = shingle_set(x, words)
                 name = xxhash.xxh3_128_digest(hashes.tobytes())
@@ -128,9 +145,10 @@ def described(df: DataFrame, words: int, similarity: float, text_col: str) -> Da
                 sizes.append(len(hashes))
                 fps.append(simhash.fingerprint(hashes))
                 firsts.append(None if name in seen else prefix(hashes, frequent, counts, similarity))
+                maps.append(None if name in seen else bitmap(hashes))
                 seen.add(name)
             halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            found = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), _lists(firsts)]
+            found = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), _lists(firsts), _lists(maps)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *found], names=out.names)
 
     return df.mapInArrow(run, out)
@@ -158,18 +176,27 @@ def _small(sizes: DataFrame, size: Column) -> bool:
     return (sizes.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_SHINGLES
 
 
+def _differing(one: Column, two: Column) -> Column:
+    """Bits in which two bitmaps differ, the larger one folded if it has twice the size; null if it is larger still."""
+    words = F.least(F.size(one), F.size(two))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = [F.when(F.size(x) > words, F.zip_with(F.slice(x, 1, words), F.slice(x, words + 1, F.size(x)), xor)).otherwise(x) for x in (one, two)]
+    return F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda so_far, x: so_far + x)
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose prefixes share enough elements.
+    """The ``pairs(a, b)`` whose sizes and bitmaps allow the similarity.
 
-    Shared elements outside the two prefixes lie beyond the prefix of the one that ends first, so there are less than
-    ``s`` times the larger size of them.
+    Sets of sizes m and n that are similar differ in at most ``(1 - s) / (1 + s) * (m + n)`` elements, and bitmaps in no
+    more bits. Their sizes are then so near that one bitmap has at most twice the bits.
     """
-    some = _named(pairs, nodes, "prefix")
-    sets = some.select("node", F.struct("n", "prefix").alias("items"))
-    found = _beside(pairs, sets, _small(some, F.size("prefix")))
+    some = _named(pairs, nodes, "bits")
+    sets = some.select("node", F.struct("n", "bits").alias("items"))
+    found = _beside(pairs, sets, _small(some, F.size("bits")))
     na, nb = F.col("sa.n"), F.col("sb.n")
-    shared = F.size(F.array_intersect("sa.prefix", "sb.prefix")) + F.ceil(F.lit(similarity) * F.greatest(na, nb) - F.lit(TINY)) - 1
-    return found.where(shared + F.lit(TINY) >= F.lit(similarity / (1 + similarity)) * (na + nb)).select("a", "b")
+    near = F.least(na, nb) + F.lit(TINY) >= F.lit(similarity) * F.greatest(na, nb)
+    most = F.lit((1 - similarity) / (1 + similarity) + TINY) * (na + nb)
+    return found.where(near & (_differing(F.col("sa.bits"), F.col("sb.bits")) <= most)).select("a", "b")
 
 
 def complete_sets(some: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -226,14 +253,15 @@ def near_fingerprints(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that join all similar ``nodes(node, t1, t2, n, fp, prefix)`` and no others.
+    """Links ``(a, b)`` that join all similar ``nodes(node, t1, t2, n, fp, prefix, bits)`` and no others.
 
     A node may have several rows, which differ in no more than the text they name. Inside a group that links already
     join, further links are not listed.
     """
-    # nr: a node's size, and how many elements it has from this one on. One exchange serves both the counts and the join with them.
+    # nr: a node's size, and how many elements it has from this one on. One exchange serves both the counts and the join with them,
+    # as long as both have the same filters below it: the join would add one of its own on nr.
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", F.expr("shiftleft(n, 32) | (n - pos)").alias("nr"))
-    entries = entries.repartition("key")
+    entries = entries.where("key is not null and nr is not null").repartition("key")
     n, r = _size_and_rest("nr")
     hub = F.min(F.struct((n - r).alias("pos"), "node", "nr")).alias("h")
     ends = entries.groupBy("key").agg(hub, F.count("*").alias("many"), F.min("node").alias("first"), F.max("node").alias("last"), F.min(n).alias("least"), F.max(r).alias("most"))
@@ -284,7 +312,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         own = own.join(clash, F.col("s1") == F.col("s1__"), "left").withColumn("node", F.when(other, F.xxhash64("s2", "s1")).otherwise(F.col("s1")))
     else:
         own = own.withColumn("node", F.col("s1"))
-    nodes = own.where(F.col("prefix").isNotNull()).select("node", "t1", "t2", "n", "fp", "prefix")
+    nodes = own.where(F.col("prefix").isNotNull()).select("node", "t1", "t2", "n", "fp", "prefix", "bits")
     found = cut(connected_components(links(nodes, rows.select("text__"), words, similarity)).withColumnRenamed("node", "node__"))
     own = own.select("id", *kept, "node")
     own = own.join(F.broadcast(found) if found.count() <= BROADCAST_NODES else found, F.col("node") == F.col("node__"), "left").withColumn("group", F.coalesce("root", "node"))
